@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .tokens import decode, encode, encode_with_offsets, vocabulary
+from .tokens import count_tokens, decode, encode, encode_with_offsets, vocabulary
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +25,8 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Documents and tokens per source."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return p7_ids(spark, d).join(docs, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).cast("long").alias("tokens"))
+    sizes = count_tokens(table(spark, d, "documents"), "doc_id", "text", vocabulary(spark), ("source",))
+    return sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p7_round_trip": p7_round_trip, "p7_sizes": p7_sizes}
