@@ -71,3 +71,10 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after a check of the row count; else the frame as it is (a shuffled join)."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores before CPU-heavy Python work; an explicit number, which AQE doesn't coalesce by bytes."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
