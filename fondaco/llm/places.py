@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Longest reference list that is broadcast as one tree; beyond it the list is sharded.
 TREE_ROWS = 20_000
 #: Kinds of place as they are written out (longest spelling first), by canonical kind.
@@ -250,7 +252,7 @@ def map_values(values: DataFrame, entries: DataFrame, tree_rows: int = TREE_ROWS
             for pdf in batches:
                 yield _answers(index, pdf["value"])
 
-        best = vals.mapInPandas(look, _SCHEMA)
+        best = spread(vals, "value").mapInPandas(look, _SCHEMA)
     else:
         shards, buckets = -(-n // tree_rows), 4 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # whole cores stay in one shard or not, as the hash falls: winners of all shards are merged below
