@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,10 +58,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows as a table in the shared checkpoint folder, read again.
+
+    A table rather than ``checkpoint()``, as that carries the old plan's size estimates and constraints on, which grow
+    without end in a loop; the table's are those of its files. It outlives lost executors, and :func:`forget` deletes it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fondaco_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no later step reads."""
+    for t in tables:
+        path = getattr(t, "_fondaco_path", None)
+        if path:
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
