@@ -192,14 +192,28 @@ def parse_name(raw: str) -> tuple[str, str, str, str] | None:
     return "person", g[:1], plain[last], "~" + g if len(g) > 2 else ""
 
 
-# Beginnings of month names in five languages, and Roman months.
-MONTHS = {
-    **{m: i for i, m in enumerate("gen feb mar apr mag giu lug ago set ott nov dic".split(), 1)},
-    **{m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)},
-    **{m: i for i, m in enumerate("jän feb mär apr mai jun jul aug sep okt nov dez".split(), 1)},
-    **{m: i for i, m in enumerate("янв фев мар апр мая июн июл авг сен окт ноя дек".split(), 1)},
-    **{"janv": 1, "fév": 2, "févr": 2, "mars": 3, "avr": 4, "juin": 6, "juil": 7, "aoû": 8, "déc": 12, "май": 5, "märz": 3},
-}
+# Month names in five languages; a cut name of three letters or more counts too.
+MONTH_NAMES = [
+    "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
+    "january february march april may june july august september october november december",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "jänner februar maerz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "января февраля марта апреля мая июня июля августа сентября октября ноября декабря",
+    "январь февраль март апрель май июнь июль август сентябрь октябрь ноябрь декабрь",
+]
+
+
+@lru_cache(maxsize=1_000)
+def month_of(word: str) -> int:
+    """The month that a word names in full or begins, 0 for none."""
+    for names in MONTH_NAMES:
+        for k, name in enumerate(names.split(), 1):
+            if word == name or (len(word) >= 3 and name.startswith(word)):
+                return k
+    return 0
+
+
 ROMAN = {m: i for i, m in enumerate("i ii iii iv v vi vii viii ix x xi xii".split(), 1)}
 _ISO = re.compile(r"\b(1[89]\d\d)-(\d{1,2})-(\d{1,2})\b")
 _DMY = re.compile(r"\b(\d{1,2})[./-](\d{1,2}|[ivx]{1,4})[./-](1[89]\d\d)\b")
@@ -207,17 +221,17 @@ _WORDS = re.compile(r"(?:\b(\d{1,2})(?:er|st|nd|rd|th|º|°)?\.?\s+(?:de\s+|of\s
 _YEAR = re.compile(r"\b(1[89]\d\d)\b")
 
 
-def parse_dates(text: str | None) -> list[tuple[int, str]]:
-    """(position, date) of every date in a text: 'YYYY', 'YYYY-MM' or 'YYYY-MM-DD'."""
+def parse_dates(text: str | None) -> list[tuple[int, str, int]]:
+    """(start, date, end) of every date in a text: 'YYYY', 'YYYY-MM' or 'YYYY-MM-DD'."""
     if not text:
         return []
     s = unicodedata.normalize("NFKC", text).lower()
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, int]] = []
     taken = [False] * len(s)
 
     def put(m: re.Match, date: str) -> None:
         if not any(taken[m.start() : m.end()]):
-            out.append((m.start(), date))
+            out.append((m.start(), date, m.end()))
             for k in range(m.start(), m.end()):
                 taken[k] = True
 
@@ -228,7 +242,7 @@ def parse_dates(text: str | None) -> list[tuple[int, str]]:
         if 1 <= month <= 12:
             put(m, f"{m[3]}-{month:02d}-{int(m[1]):02d}")
     for m in _WORDS.finditer(s):
-        month = MONTHS.get(m[2][:4]) or MONTHS.get(m[2][:3])
+        month = month_of(m[2])
         if month:
             put(m, f"{m[3]}-{month:02d}" + (f"-{int(m[1]):02d}" if m[1] else ""))
     for m in _YEAR.finditer(s):
