@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that checks them."""
 
-from . import reference_checks, store
+from . import recognition, reference_checks, store, text
 
-_MODULES = [reference_checks, store]
+_MODULES = [reference_checks, store, text, recognition]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
