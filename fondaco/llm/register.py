@@ -31,8 +31,9 @@ LEAST, MUTUAL, SAMPLE = 6.0, 0.12, 5_000
 
 # What kinds of document on one person are called, by language.
 KINDS = re.compile(
-    r"^\s*(?:lapide|scheda biografica|fascicolo personale|foglio matricolare|partigiani caduti|estratto (?:dell')?atto di morte|estratto di morte|atto di morte|certificato di morte|acte de décès|dossier individuel|fiche individuelle|personalakte|verlustmeldung|grabmeldung|sterbeurkunde|sterbebucheintrag|gräberkarte|todesanzeige|necrologio|avis de décès|livret militaire|obituary|casualty record|casualty form|service papers|grave registration|death certificate|личное дело|карточка)"
-    r"\s*(?:di|del|della|of|for|de|von|an)?\s*[:,–—-]?\s*",
+    r"^\s*(?:(?:lapide|scheda biografica|necrologio)(?:\s+(?:di|del|della)\b)?|(?:service papers|obituary)(?:\s+of\b)?|avis de décès(?:\s+de\b)?"
+    r"|fascicolo personale|foglio matricolare|partigiani caduti|estratto (?:dell')?atto di morte|estratto di morte|atto di morte|certificato di morte|acte de décès|dossier individuel|fiche individuelle|livret militaire"
+    r"|personalakte|verlustmeldung|grabmeldung|sterbeurkunde|sterbebucheintrag|gräberkarte|todesanzeige|casualty record|casualty form|grave registration|death certificate|личное дело|карточка)\s*[:,–—-]?\s*",
     re.I,
 )
 _BIRTH = re.compile(r"(?:\b(?:nato|nata|n|geb|geboren|born|b|classe|cl|né|née|р)\b\.?|\*)\s*(?:il|in|nel|le|am|on|a)?\s*$", re.I)

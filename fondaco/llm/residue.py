@@ -178,6 +178,7 @@ class Residue:
         for k, (_, s) in enumerate(self.sets):
             for t in s:
                 self.index.setdefault(t, []).append(k)
+        self.spoken = {t for label, s in self.sets if label != "template" for t in s}
         self.marks = {t for label, s in self.sets if label == "template" for t in s if not t.isalnum() or t == "todo" or t.startswith("xxxx")}
 
     def window(self, text: str) -> tuple[str, float]:
@@ -189,17 +190,18 @@ class Residue:
             return "template", 1.0
         if not any(t.isalpha() for t in w):
             return "", 0.0
-        known = [t for t in w if t in self.idf]
+        known = [t for t in w if t in self.spoken]  # marks around fields count only where a field stands
         whole = sum(self.idf.get(t, self.other) for t in w)
         if not known or sum(self.idf[t] for t in known) < CONTAINMENT * whole:
             return "", 0.0  # even all exemplars together can't cover enough
         share: dict[int, float] = Counter()
         for t in known:
             for k in self.index[t]:
-                share[k] += self.idf[t]
+                if self.sets[k][0] != "template":
+                    share[k] += self.idf[t]
         best = max(share, key=lambda k: (share[k], -k))
         # exemplars that stand wholly in the window cover it together (several notices in one passage)
-        joint = set().union(*(self.sets[k][1] for k in share if self.sets[k][0] != "template" and share[k] >= 0.8 * self.weight[k]), self.sets[best][1])
+        joint = set().union(*(self.sets[k][1] for k in share if share[k] >= 0.8 * self.weight[k]), self.sets[best][1])
         covered = sum(self.idf[t] for t in known if t in joint) / whole
         return self.sets[best][0], covered
 
