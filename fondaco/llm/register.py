@@ -4,9 +4,10 @@ Register rows are documents of attribute tokens (surname, given name, initial, a
 month and day); titles are read for the person they name and become queries of the same tokens. Surnames are first
 led to their usual spelling over both tables, and a rare spelling also asks for register surnames within an edit.
 
-Retrieval is exact above a least score: of a query's tokens, sorted by the most they can add, as many of the weakest are
-left out of the postings join as together stay below that score (they are the frequent ones, such as initials and
-years), so no hot posting is joined; they are then added to the candidates' scores.
+Retrieval is exact above a least score, with every row that reaches it (no k cuts ties off): a match must share a
+surname token, so only surname postings are joined, of a query that can reach the least score at all with the most
+its other tokens add. The frequent tokens (initials, years, given names) are never joined as postings; they are added to
+the candidates' scores, so no hot posting meets another.
 """
 
 from __future__ import annotations
@@ -129,9 +130,12 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     q = own.unionByName(others).unionByName(_tokens(doc).withColumn("q", F.lit(1.0)))
     most = imp.groupBy("t").agg(F.max("w").alias("most"))
     q = q.join(most, "t").withColumn("most", F.col("most") * F.col("q"))
-    weak = Window.partitionBy("key").orderBy("most", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = cut(q.withColumn("sofar", F.sum("most").over(weak)))
-    pairs = q.filter(F.col("sofar") >= least).join(imp, "t").select(F.col("key").alias("doc"), "row").distinct()
+    # a match must share a surname token, so only those postings are joined; the most that the others can add decides
+    # whether a posting can still reach the least score
+    q = cut(q)
+    bound = q.groupBy("key").agg(F.sum(F.when(~F.col("t").startswith("s:"), F.col("most"))).alias("others"))
+    strong = q.filter(F.col("t").startswith("s:")).join(bound, "key").filter(F.col("most") + F.coalesce("others", F.lit(0.0)) >= least)
+    pairs = strong.join(imp, "t").select(F.col("key").alias("doc"), "row").distinct()
     side = lambda df, p, k: df.select(F.col("key").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("initial", "surname", "given", "birth", "death")])
     qv = q.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "q"))).alias("qv")).withColumnRenamed("key", "doc")  # a dozen tokens at most, and near surnames
     iv = imp.groupBy("row").agg(F.collect_list(F.struct("t", "w")).alias("iv"))
