@@ -94,5 +94,7 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Rows over all cores before CPU-heavy Python work; an explicit number, which AQE doesn't coalesce by bytes."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *by)
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shuffled, 2 * spark.sparkContext.defaultParallelism)
+    # an equal number would be taken for the partitioning that an aggregate has left, which AQE may coalesce
+    return df.repartition(n + (n == shuffled), *by)
