@@ -161,10 +161,12 @@ def _run(run: list[str], before: str | None, after: str | None, top: bool) -> li
         return [GOOD] * n
     if before == BAD:
         side = [k for k in range(names) if YEAR.search(run[k])]
-        if after == BAD or after is None:
-            # a list of the site's, unless headings lead away from it
-            return [BAD] * n if names == n or not any(not named(x) for x in run) else [BAD] * names + [GOOD] * (n - names)
-        cut = names if names <= SIDE_MOST else (side[-1] + 1 if side else 0)
+        closed = after == BAD or after is None
+        if closed and names < n and names < LIST_LEAST and not side:
+            return [BAD] * names + [GOOD] * (n - names)
+        # entries of a side list come first, and only they bear years; a list of the page's own names may follow
+        few = names < LIST_LEAST if closed else names <= SIDE_MOST
+        cut = names if few else (side[-1] + 1 if side else 0)
         if names > cut and names - cut < LIST_LEAST:
             cut = names
         return [BAD] * cut + [GOOD] * (n - cut)
