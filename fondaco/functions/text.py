@@ -130,3 +130,28 @@ def hidden_inputs(c: str | Column) -> Column:
     pair = F.transform(tags, lambda t: F.struct(F.regexp_extract(t, r"(?is)\bname\s*=\s*[\"']([^\"']*)[\"']", 1).alias("k"), F.regexp_extract(t, r"(?is)\bvalue\s*=\s*[\"']([^\"']*)[\"']", 1).alias("v")))
     keys = F.array_distinct(F.transform(pair, lambda p: p["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pair, lambda p: p["k"] == k), -1)["v"]))
+
+# Latin digraphs and letters in Cyrillic, the longest first.
+CYRILLIC = {
+    "shch": "щ", "sch": "щ", "zh": "ж", "kh": "х", "ts": "ц", "ch": "ч", "sh": "ш", "yu": "ю", "ya": "я", "yo": "ё", "ju": "ю", "ja": "я",
+    "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "z": "з", "i": "и", "j": "й", "y": "й", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "f": "ф", "h": "х", "c": "к", "w": "в", "x": "кс", "q": "к",
+}
+
+
+def to_cyrillic(c: str | Column) -> Column:
+    """Latin text in Cyrillic letters; the longest group of letters wins at each place."""
+    s = F.lower(_c(c))
+    for latin, cyr in sorted(CYRILLIC.items(), key=lambda x: -len(x[0])):
+        s = F.replace(s, F.lit(latin), F.lit(cyr))
+    return s
+
+
+def drop_repeated_lead(c: str | Column, most: int = 8) -> Column:
+    """A text without the second copy of a phrase of up to ``most`` words that begins it twice (the longest such phrase)."""
+    return F.regexp_replace(_c(c), rf"^(\S+(?: \S+){{0,{most - 1}}}) \1(?= |$)", "$1")
+
+
+def dates_compatible(a: str | Column, b: str | Column) -> Column:
+    """Whether two partial dates (YYYY, YYYY-MM, YYYY-MM-DD) may be one day; unknown ones are compatible with all."""
+    x, y = F.coalesce(_c(a), F.lit("")), F.coalesce(_c(b), F.lit(""))
+    return x.startswith(y) | y.startswith(x)

@@ -1,5 +1,3 @@
-from datetime import datetime as dt
-
 from pyspark.sql import functions as F
 
 from fondaco.operators.documents import boundaries, boundary_chunks, components, cosine_pairs, stride_chunks, tfidf
@@ -81,4 +79,3 @@ def test_rules(spark):
     assert [r.m for r in df.select(m.alias("m")).collect()] == [["fine"], ["many", "b"], ["many"], ["fine"]]
     c = captures(F.lit("nato il 3 maggio 1920, x"), {"born": [r"geb\. (\w+)", r"nato il ([^,]+)"]})
     assert spark.range(1).select(c["born"].alias("b")).first().b == "3 maggio 1920"
-    assert dt is not None

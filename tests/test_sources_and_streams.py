@@ -65,3 +65,27 @@ def test_streams_match_batch(spark, tmp_path):
     windowed_counts(s(), "at", "1 day", "5 days", ["kind"], w, wc)
     batch = spark.read.schema(schema).json(str(src)).groupBy(F.window("at", "1 day").start.alias("d"), "kind").count()
     assert sorted(map(tuple, latest_windows(spark, w, ["window_start", "kind"]).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_adapter_source(spark):
+    from fondaco.sources.adapters import AdapterSource
+
+    class Echo:
+        def schema(self):
+            return "k string, n int"
+
+        def plan(self):
+            return [{"k": "a", "n": 2}, {"k": "b", "n": 1}]
+
+        def fetch(self, request):
+            yield from ((request["k"], i) for i in range(request["n"]))
+
+    class EchoSource(AdapterSource):
+        adapter = Echo()
+
+        @classmethod
+        def name(cls):
+            return "echo_adapter"
+
+    spark.dataSource.register(EchoSource)
+    assert sorted(map(tuple, spark.read.format("echo_adapter").load().collect())) == [("a", 0), ("a", 1), ("b", 0)]

@@ -51,3 +51,10 @@ def test_exact_bounds(spark):
     assert abs(math.exp(log_cdf(4, 20, 0.3)) - exact) < 1e-12
     assert abs(spark.range(1).select(bound_column(F.lit(1), F.lit(30)).alias("b")).first().b - upper_bound(1, 30)) < 1e-12
     assert tile_offsets(10, 20, 2) == [0] and tile_offsets(25, 10, 2)[-1] == 15
+
+
+def test_transliteration_and_phrases(spark):
+    assert one(spark, T.to_cyrillic("t"), "Shchukin Zhora") == "щукин жора"
+    assert one(spark, T.drop_repeated_lead("t"), "Monte Alto Monte Alto 1944") == "Monte Alto 1944"
+    assert one(spark, T.drop_repeated_lead("t"), "Monte Montealto") == "Monte Montealto"
+    assert one(spark, T.dates_compatible("t", F.lit("1944-05-01")), "1944-05") and not one(spark, T.dates_compatible("t", F.lit("1944-05")), "1945")
