@@ -128,30 +128,33 @@ def _form(form: str, name: str) -> str:
 FIELD = re.compile("|".join([*(_form(f, _NAME) for f in STRONG if f not in ("TODO x", "XXXX_x", "__x__")), *(_form(f, _KNOWN) for f in WEAK), rf"(?<![^\W_])__{_KNOWN}__", rf"\bTODO[\s_:]+{_KNOWN}\b", rf"\bX{{3,}}_{_NAME}"]), re.I)
 TOKEN = re.compile(r"\{\{|\}\}|\{%|%\}|\$\{|<%=|%>|\[\[|\]\]|\(\(|\)\)|@@|__+|&lt;|&gt;|«campo|\bx{4,}(?=_)|[\[\]{}<>%$#]|[^\W_]+")
 MENU = re.compile(r"\S\s*(?:[|·•»›]|\s/)\s*\S.*(?:[|·•»›]|\s/)\s*\S")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 LISTED = re.compile(r"^\d+[.)]\s")
 RECORD = re.compile(r"^\W*(?:id|nr|n|no|ref|reference id|rif)?[\s.:#°]*[0-9a-f-]*\d[0-9a-f-]*\W*$", re.I)
 
 
 def tokens(text: str) -> list[str]:
     """Lower-case words and the marks that templates put around fields; digits count as one token."""
-    return ["0" if t.isdigit() else re.sub(r"\d+", "", t) or "0" for t in TOKEN.findall(text.lower())]
+    return [t if t.isalpha() else "0" if t.isdigit() else re.sub(r"\d+", "", t) or "0" for t in TOKEN.findall(text.lower())]
 
 
-def windows(text: str) -> list[tuple[str, bool]]:
-    """(passage, whether it counts as content): sentences of each line, long ones in pieces.
+def aside(line: str) -> bool:
+    """Whether a line is no content: a menu, a record number, or a heading (short, without a full stop, no list entry)."""
+    return bool(MENU.search(line) or RECORD.match(line) or (len(line) <= 80 and line[-1] not in ".!?…;:" and len(line.split()) <= 9 and not LISTED.match(line)))
 
-    Short lines without a full stop are headings, and these, menus and record numbers don't count as content.
-    """
+
+def windows(text: str) -> list[tuple[str, str]]:
+    """(passage, its line): sentences of each line, long ones in pieces."""
     out = []
     for line in text.split("\n"):
         line = line.strip()
-        if not line:
-            continue
-        aside = bool(MENU.search(line) or RECORD.match(line) or (len(line) <= 80 and line[-1] not in ".!?…;:" and len(line.split()) <= 9 and not LISTED.match(line)))
-        for s in re.split(r"(?<=[.!?…])\s+(?=\S)", line):
-            words = s.split()
-            for k in range(0, len(words), WINDOW):
-                out.append((" ".join(words[k : k + WINDOW]), not aside))
+        if line:
+            for s in _SENTENCE.split(line) if len(line) > 60 or _SENTENCE.search(line) else (line,):
+                words = s.split()
+                if len(words) <= WINDOW:
+                    out.append((" ".join(words), line))
+                else:
+                    out += [(" ".join(words[k : k + WINDOW]), line) for k in range(0, len(words), WINDOW)]
     return out
 
 
@@ -209,16 +212,17 @@ class Residue:
         """(label, coverage): label '' unless the document is to be left out."""
         if text is None or not text.strip():
             return "", 0.0
-        hit, rest, first = 0, 0, Counter()
-        for passage, content in windows(text):
+        hit, others, first = 0, [], Counter()
+        for passage, line in windows(text):
             label, covered = self.window(passage)
             if label == "template":
                 return "template", 1.0
             if label and covered >= CONTAINMENT:
                 hit += len(passage)
                 first[label] += len(passage)
-            elif content:
-                rest += len(passage)
+            else:
+                others.append((passage, line))
+        rest = sum(len(p) for p, line in others if not aside(line)) if hit else 0
         coverage = hit / (hit + rest) if hit else 0.0
         return (max(sorted(first), key=lambda k: first[k]) if coverage >= COVERAGE else ""), coverage
 
