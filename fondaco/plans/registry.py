@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that checks them."""
 
-from . import linkage, recognition, reference_checks, rules, store, streams, text
+from . import derived, linkage, recognition, reference_checks, rules, store, streams, text
 
-_MODULES = [reference_checks, store, text, recognition, rules, streams, linkage]
+_MODULES = [reference_checks, store, text, recognition, rules, streams, linkage, derived]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
