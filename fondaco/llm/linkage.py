@@ -33,6 +33,8 @@ COSINE, LINKAGE = 0.45, 0.5
 _DATE = re.compile(r"\(?\b[\w.,/-]*\s*[^\W\d]*\.?\s*1[89]\d\d[^,)]*\)?")
 #: Records under a surname from which on it counts as usual.
 USUAL = 4
+#: Share of the other spelling's records under which a spelling is rare beside it.
+RARE = 0.1
 
 
 def read_records(rows: DataFrame) -> DataFrame:
@@ -103,16 +105,31 @@ def similar_forms(forms: DataFrame, threshold: float = COSINE, top_n: int | None
     return out
 
 
+def rare(a: str, b: str) -> Column:
+    """Whether the less frequent of two spellings may be a slip of the other: few records, or few beside the other's."""
+    return F.least(a, b) < F.greatest(F.lit(USUAL), F.greatest(a, b) * RARE)
+
+
 def usual_spelling(words: DataFrame) -> DataFrame:
     """(word, usual) of rare surnames that are one edit from a surname that stands far more often, if there is one only.
 
+    Rare is meant beside the other spelling (:func:`rare`), so a slip that many copies repeat is led back as well.
+
     words: word (unique), n.
     """
-    w = cut(words.select(F.xxhash64("word").alias("form"), F.lit("").alias("block"), F.when(F.col("n") >= USUAL, "r").otherwise("l").alias("role"), "word", "n"))
+    w = cut(words.select(F.xxhash64("word").alias("form"), F.lit("").alias("block"), F.lit("lr").alias("role"), "word", "n"))
     e = similar_forms(w)
+    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     e = e.join(w.select(F.col("form").alias("a"), F.col("word"), F.col("n").alias("na")), "a").join(w.select(F.col("form").alias("b"), F.col("word").alias("usual"), F.col("n").alias("nb")), "b")
-    e = e.filter("nb >= 4 * na AND abs(length(word) - length(usual)) <= 1 AND length(word) >= 5").withColumn("edits", swaps("word", "usual")).filter("edits = 1")
-    return e.groupBy("word").agg(F.min("usual").alias("usual"), F.max("usual").alias("other")).filter("usual = other").select("word", "usual")
+    e = e.filter(rare("na", "nb") & F.expr(f"nb >= {USUAL} AND nb >= 4 * na AND abs(length(word) - length(usual)) <= 1 AND length(word) >= 5")).withColumn("edits", swaps("word", "usual")).filter("edits = 1")
+    e = cut(e.select("word", "usual"))
+    while True:  # a usual spelling may itself be rare beside another; counts grow fourfold along a chain, so it ends
+        one = e.groupBy("word").agg(F.min("usual").alias("usual"), F.max("usual").alias("other")).filter("usual = other").select("word", "usual")
+        on = one.select(F.col("word").alias("usual"), F.col("usual").alias("next"))
+        if e.join(on, "usual", "left_semi").isEmpty():
+            return one
+        e, old = cut(e.join(on, "usual", "left").select("word", F.coalesce("next", "usual").alias("usual")).distinct()), e
+        forget(old)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -226,7 +243,7 @@ def link_names(rows: DataFrame) -> DataFrame:
     e = e.join(named.select(F.col("form").alias("a"), F.col("surname").alias("sa"), F.col("usual").alias("ua")), "a").join(named.select(F.col("form").alias("b"), F.col("surname").alias("sb"), F.col("usual").alias("ub")), "b")
     e = e.filter(F.abs(F.length("sa") - F.length("sb")) <= 2).withColumn("edits", swaps("sa", "sb"))
     e = e.filter((F.col("edits") <= 1) | ((F.col("edits") == 2) & (F.least(F.length("sa"), F.length("sb")) >= 8)))
-    e = e.filter(F.least("ua", "ub") < F.greatest(F.lit(USUAL), F.greatest("ua", "ub") * 0.1)).select("a", "b", "edits")
+    e = e.filter(rare("ua", "ub")).select("a", "b", "edits")
     same = forms.select(F.col("form").alias("a"), F.col("form").alias("b"), F.lit(0).alias("edits"))
     pairs = node_pairs(nodes, cut(e.unionByName(same)))
     clusters = average_linkage(nodes, pairs)

@@ -83,3 +83,9 @@ def test_average_linkage_against_brute_force(spark):
     for r in L.average_linkage(nodes, pairs).collect():
         got.setdefault(r.cluster, []).append(r.node)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_usual_spelling_is_relative(spark):
+    # 10 beside 1,000 is a slip, 30 beside 60 isn't; a slip of a slip is led to the end of the chain
+    words = spark.createDataFrame([("rossettini", 1000), ("rossetini", 10), ("rosetini", 1), ("moncolinza", 60), ("moncolinzo", 30)], "word string, n long")
+    assert {tuple(r) for r in L.usual_spelling(words).collect()} == {("rossetini", "rossettini"), ("rosetini", "rossettini")}

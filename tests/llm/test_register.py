@@ -23,3 +23,11 @@ def test_matches(spark):
     assert got >= {(1, "d1"), (3, "d2")} and not {d for _, d in got} & {"d3", "d4", "d5", "d6"} and (3, "d1") not in got and (4, "d1") not in got
     assert all(0 <= r.confidence <= 1 for r in m.collect())
     assert match_titles(reg.limit(0), docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").count() == 0
+
+
+def test_a_misspelling_that_occurs_often(spark):
+    # ten rows and titles under a misspelling, a thousand under the surname
+    reg = spark.createDataFrame([(i, f"{'Aldo Bruno Carlo Dario Ettore'.split()[i % 5]} Rossettini", str(1800 + i // 5), "1944") for i in range(1000)] + [(2000 + i, f"Aldo Cognome{'abcdefghij'[i]}ini", str(1900 + i), None) for i in range(10)], "caduto_id long, nome string, nascita string, morte string")
+    docs = spark.createDataFrame([(f"d{i}", f"Lapide di Aldo Rossetini ({1800 + i} - 1944)") for i in range(10)], "document_id string, title string")
+    got = {(r.caduto_id, r.document_id) for r in match_titles(reg, docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").collect()}
+    assert got == {(5 * i, f"d{i}") for i in range(10)}
