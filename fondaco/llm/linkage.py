@@ -105,6 +105,20 @@ def similar_forms(forms: DataFrame, threshold: float = COSINE, top_n: int | None
     return out
 
 
+def edit_pairs(forms: DataFrame) -> DataFrame:
+    """(a, b) of distinct forms that may be one edit apart, a swap of neighbours as one; no such pair is missing.
+
+    Words one edit apart have a word in common when each may lose a letter. Unlike a cosine, that doesn't depend on the
+    vocabulary. forms and roles as in :func:`similar_forms`.
+    """
+    n = F.length("word")
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1)))
+    keys = forms.filter(n > 0).select("form", "block", "role", F.explode(F.array_distinct(F.concat(F.array("word"), less))).alias("k"))
+    left = keys.filter(F.col("role").contains("l")).select(F.col("form").alias("a"), F.col("role").alias("ra"), "block", "k")
+    right = keys.filter(F.col("role").contains("r")).select(F.col("form").alias("b"), F.col("role").alias("rb"), "block", "k")
+    return left.join(right, ["block", "k"]).filter("(ra = 'lr' AND rb = 'lr' AND a < b) OR (ra <> rb AND a <> b)").select("a", "b").distinct()
+
+
 def rare(a: str, b: str) -> Column:
     """Whether the less frequent of two spellings may be a slip of the other: few records, or few beside the other's."""
     return F.least(a, b) < F.greatest(F.lit(USUAL), F.greatest(a, b) * RARE)
@@ -118,8 +132,8 @@ def usual_spelling(words: DataFrame) -> DataFrame:
     words: word (unique), n.
     """
     w = cut(words.select(F.xxhash64("word").alias("form"), F.lit("").alias("block"), F.lit("lr").alias("role"), "word", "n"))
-    e = similar_forms(w)
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    e = edit_pairs(w)
+    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = e.join(w.select(F.col("form").alias("a"), F.col("word"), F.col("n").alias("na")), "a").join(w.select(F.col("form").alias("b"), F.col("word").alias("usual"), F.col("n").alias("nb")), "b")
     e = e.filter(rare("na", "nb") & F.expr(f"nb >= {USUAL} AND nb >= 4 * na AND abs(length(word) - length(usual)) <= 1 AND length(word) >= 5")).withColumn("edits", swaps("word", "usual")).filter("edits = 1")
     e = cut(e.select("word", "usual"))
@@ -239,7 +253,9 @@ def link_names(rows: DataFrame) -> DataFrame:
     # two surnames that are both usual are two surnames, however alike
     usual = forms.groupBy("surname").agg(F.sum("n").alias("usual"))
     named = forms.join(usual, "surname").select("form", "surname", "usual")
-    e = similar_forms(forms.select("form", F.col("initial").alias("block"), F.lit("lr").alias("role"), F.col("surname").alias("word")))
+    # one edit is found exactly; the cosine adds the partners two edits away
+    blocks = cut(forms.select("form", F.col("initial").alias("block"), F.lit("lr").alias("role"), F.col("surname").alias("word")))
+    e = similar_forms(blocks).select("a", "b").unionByName(edit_pairs(blocks)).distinct()
     e = e.join(named.select(F.col("form").alias("a"), F.col("surname").alias("sa"), F.col("usual").alias("ua")), "a").join(named.select(F.col("form").alias("b"), F.col("surname").alias("sb"), F.col("usual").alias("ub")), "b")
     e = e.filter(F.abs(F.length("sa") - F.length("sb")) <= 2).withColumn("edits", swaps("sa", "sb"))
     e = e.filter((F.col("edits") <= 1) | ((F.col("edits") == 2) & (F.least(F.length("sa"), F.length("sb")) >= 8)))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut, spread
-from .linkage import _given_factor, agree, rare, similar_forms, swaps, usual_spelling
+from .linkage import _given_factor, agree, edit_pairs, rare, swaps, usual_spelling
 from .names import parse_date, parse_dates, parse_name
 
 K1, B = 1.2, 0.3
@@ -111,7 +111,7 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     forms = lambda df, role: df.select("initial", "surname").distinct().select(F.xxhash64(F.lit(role), "initial", "surname").alias("form"), F.col("initial").alias("block"), F.lit(role).alias("role"), F.col("surname").alias("word"))
     fl, fr = forms(doc, "l"), forms(reg, "r")
     usual = reg.select("surname").unionByName(doc.select("surname")).groupBy("surname").agg(F.count(F.lit(1)).alias("n"))
-    near = similar_forms(fl.unionByName(fr))
+    near = edit_pairs(fl.unionByName(fr))
     near = near.join(fl.select(F.col("form").alias("a"), F.col("word").alias("sa")), "a").join(fr.select(F.col("form").alias("b"), F.col("word").alias("sb")), "b").filter("sa <> sb")
     near = near.select("sa", "sb").distinct().filter(F.abs(F.length("sa") - F.length("sb")) <= 1).withColumn("edits", swaps("sa", "sb")).filter("edits <= 1")
     near = near.join(usual.select(F.col("surname").alias("sa"), F.col("n").alias("na")), "sa").join(usual.select(F.col("surname").alias("sb"), F.col("n").alias("nb")), "sb")

@@ -89,3 +89,26 @@ def test_usual_spelling_is_relative(spark):
     # 10 beside 1,000 is a slip, 30 beside 60 isn't; a slip of a slip is led to the end of the chain
     words = spark.createDataFrame([("rossettini", 1000), ("rossetini", 10), ("rosetini", 1), ("moncolinza", 60), ("moncolinzo", 30)], "word string, n long")
     assert {tuple(r) for r in L.usual_spelling(words).collect()} == {("rossetini", "rossettini"), ("rosetini", "rossettini")}
+
+
+def test_one_edit_pairs_against_brute_force(spark):
+    # all pairs one edit apart, whatever the size of the vocabulary: the cosine alone loses some in the larger one
+    from fondaco.llm.places import swap_distance
+
+    rnd = random.Random(11)
+    parts = ["ba", "co", "di", "fu", "ga", "lo", "ni", "vi"]
+    base = sorted({"".join(rnd.choice(parts) for _ in range(4)) for _ in range(40)})
+
+    def slip(w):
+        i = rnd.randrange(len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + rnd.choice("xyz") + w[i + 1 :], w[:i] + "q" + w[i:]])
+
+    words = sorted(set(base) | {slip(w) for w in base for _ in range(2)} | {"buvinina", "bvuinina"})
+    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if swap_distance(a, b) == 1}
+    for more in (0, 10 * len(words)):
+        rest = ["".join(rnd.choice(["ro", "ste", "pa", "mi", "zu", "nna"]) for _ in range(5)) + str(i) for i in range(more)]
+        forms = spark.createDataFrame([(w, "x", "lr", w) for w in words + rest], "form string, block string, role string, word string")
+        got = {(r.a, r.b) for r in L.edit_pairs(forms).collect()}
+        assert want and not want - got
+    cosine = {(r.a, r.b) for r in L.similar_forms(forms).select("a", "b").collect()}
+    assert want - cosine
