@@ -1,13 +1,13 @@
-"""Matching register rows and titles without a shared key: BM25 retrieval, mutual test, calibrated confidence.
+"""Matching register rows and titles without a shared key: BM25 retrieval, exact check, calibrated confidence.
 
 Register rows are documents of attribute tokens (surname, given name, initial, and the dates of birth and death to year,
 month and day); titles are read for the person they name and become queries of the same tokens. Surnames are first
 led to their usual spelling over both tables, and a rare spelling also asks for register surnames within an edit.
 
-Retrieval is exact above a least score, with every row that reaches it (no k cuts ties off): a match must share a
-surname token, so only surname postings are joined, of a query that can reach the least score at all with the most
-its other tokens add. The frequent tokens (initials, years, given names) are never joined as postings; they are added to
-the candidates' scores, so no hot posting meets another.
+Retrieval is exact, with every row that shares a surname token (no k and no least score cut any off): only surname
+postings are joined. The frequent tokens (initials, years, given names) are never joined as postings; they are added to
+the candidates' scores. The exact check of surname, given name and dates decides which candidates stay; scores rank
+those and give the confidence, as idf falls with the size of the register and the frequency of a name.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .linkage import _given_factor, agree, edit_pairs, rare, swaps, usual_spelli
 from .names import parse_date, parse_dates, parse_name
 
 K1, B = 1.2, 0.3
-#: Least score of a match; share of a row's best score that a title must reach; rows that calibrate the confidence at most.
-LEAST, MUTUAL, SAMPLE = 6.0, 0.12, 5_000
+#: Rows that calibrate the confidence at most.
+SAMPLE = 5_000
 
 # What kinds of document on one person are called, by language.
 KINDS = re.compile(
@@ -90,7 +90,7 @@ def _tokens(df: DataFrame) -> DataFrame:
     return df.select("key", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("t"))
 
 
-def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str, birth: str, death: str, doc_col: str, title: str, least: float = LEAST) -> DataFrame:
+def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str, birth: str, death: str, doc_col: str, title: str) -> DataFrame:
     """(row id, document id, score, gap, confidence) of every title and register row about one person.
 
     Nulls, blanks and unreadable names or titles match nothing; rows delivered twice count once; a person entered twice
@@ -128,19 +128,14 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     own = doc.select("key", F.concat(F.lit("s:"), "surname").alias("t"), F.lit(1.0).alias("q"))
     others = doc.join(near, doc["surname"] == near["sa"]).select("key", F.concat(F.lit("s:"), "sb").alias("t"), F.lit(0.8).alias("q"))
     q = own.unionByName(others).unionByName(_tokens(doc).withColumn("q", F.lit(1.0)))
-    most = imp.groupBy("t").agg(F.max("w").alias("most"))
-    q = q.join(most, "t").withColumn("most", F.col("most") * F.col("q"))
-    # a match must share a surname token, so only those postings are joined; the most that the others can add decides
-    # whether a posting can still reach the least score
+    # a match must share a surname token, so only those postings are joined
     q = cut(q)
-    bound = q.groupBy("key").agg(F.sum(F.when(~F.col("t").startswith("s:"), F.col("most"))).alias("others"))
-    strong = q.filter(F.col("t").startswith("s:")).join(bound, "key").filter(F.col("most") + F.coalesce("others", F.lit(0.0)) >= least)
-    pairs = strong.join(imp, "t").select(F.col("key").alias("doc"), "row").distinct()
+    pairs = q.filter(F.col("t").startswith("s:")).join(imp, "t").select(F.col("key").alias("doc"), "row").distinct()
     side = lambda df, p, k: df.select(F.col("key").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("initial", "surname", "given", "birth", "death")])
     qv = q.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "q"))).alias("qv")).withColumnRenamed("key", "doc")  # a dozen tokens at most, and near surnames
     iv = imp.groupBy("row").agg(F.collect_list(F.struct("t", "w")).alias("iv"))
     score = F.aggregate("iv", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.element_at("qv", x["t"]), F.lit(0.0)))
-    s = pairs.join(qv, "doc").join(iv, "row").withColumn("score", score).filter(F.col("score") >= least).drop("qv", "iv")
+    s = pairs.join(qv, "doc").join(iv, "row").withColumn("score", score).drop("qv", "iv")
     s = s.join(side(doc, "t", "doc"), "doc").join(side(reg, "r", "row"), "row")
     near_names = near.select(F.col("sa").alias("t_surname"), F.col("sb").alias("r_surname"), F.lit(True).alias("near"))
     s = s.join(near_names, ["t_surname", "r_surname"], "left")
@@ -150,15 +145,15 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     dated = ((F.length("t_birth") >= 4) & (F.length("r_birth") >= 4)) | ((F.length("t_death") >= 4) & (F.length("r_death") >= 4))
     s = cut(s.withColumn("ok", F.coalesce(same, F.lit(False))).withColumn("dated", dated))
     # the nearest of each side; among readings that a title allows, a contradiction to the nearest one is another person
-    by_doc, by_row = Window.partitionBy("doc"), Window.partitionBy("row")
-    ok = s.filter("ok").withColumn("best", F.max("score").over(by_doc)).withColumn("row_best", F.max("score").over(by_row))
+    by_doc = Window.partitionBy("doc")
+    ok = s.filter("ok").withColumn("best", F.max("score").over(by_doc))
     whole = (F.col("r_given") != "") & ~F.col("r_given").rlike("[*~]")
     ok = ok.withColumn("g1", F.min(F.when(whole, F.col("r_given"))).over(by_doc)).withColumn("g2", F.max(F.when(whole, F.col("r_given"))).over(by_doc))
     lead = F.max(F.struct("score", "r_given", "r_birth", "r_death", "row")).over(by_doc)
     ok = ok.withColumn("lead", lead)
     alike = agree(F.col("r_birth"), F.col("lead.r_birth")) & agree(F.col("r_death"), F.col("lead.r_death"))
     loose = (F.col("t_given") == "") | F.col("t_given").endswith("*")
-    kept = ok.filter(F.col("score") >= MUTUAL * F.col("row_best")).filter(alike | (F.col("score") == F.col("best"))).filter(~loose | F.col("dated") | F.col("g1").isNull() | (F.col("g1") == F.col("g2")))
+    kept = ok.filter(alike | (F.col("score") == F.col("best"))).filter(~loose | F.col("dated") | F.col("g1").isNull() | (F.col("g1") == F.col("g2")))
     # gap to the nearest row that is another person
     other = s.join(kept.select("doc", "row", F.lit(True).alias("k")), ["doc", "row"], "left").filter("k is null").groupBy("doc").agg(F.max("score").alias("second"))
     out = cut(kept.join(other, "doc", "left").select("row", "doc", "score", (F.col("score") - F.coalesce("second", F.lit(0.0))).alias("gap"), "dated", "g"))

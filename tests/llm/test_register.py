@@ -31,3 +31,11 @@ def test_a_misspelling_that_occurs_often(spark):
     docs = spark.createDataFrame([(f"d{i}", f"Lapide di Aldo Rossetini ({1800 + i} - 1944)") for i in range(10)], "document_id string, title string")
     got = {(r.caduto_id, r.document_id) for r in match_titles(reg, docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").collect()}
     assert got == {(5 * i, f"d{i}") for i in range(10)}
+
+
+def test_an_undated_title_on_a_frequent_name(spark):
+    # a third of a small register bears the surname and nothing else is known: the score is low, but nothing contradicts
+    reg = spark.createDataFrame([(1, "Q. Rossettini", None, None), (2, "Aldo Rossettini", "1901", None), (3, "Bruno Rossettini", "1902", None), (4, "Carlo Rossettini", "1903", None), *[(10 + i, f"Dario Cognome{'abcdefgh'[i]}ini", None, None) for i in range(8)]], "caduto_id long, nome string, nascita string, morte string")
+    docs = spark.createDataFrame([("d1", "Lapide di Quinto Rossettini"), ("d2", "Lapide di Aldo Rossettini"), ("d3", "Lapide di Zeno Rossettini")], "document_id string, title string")
+    got = {(r.caduto_id, r.document_id) for r in match_titles(reg, docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").collect()}
+    assert got == {(1, "d1"), (2, "d2")}
