@@ -153,7 +153,13 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     ok = ok.withColumn("lead", lead)
     alike = agree(F.col("r_birth"), F.col("lead.r_birth")) & agree(F.col("r_death"), F.col("lead.r_death"))
     loose = (F.col("t_given") == "") | F.col("t_given").endswith("*")
-    kept = ok.filter(alike | (F.col("score") == F.col("best"))).filter(~loose | F.col("dated") | F.col("g1").isNull() | (F.col("g1") == F.col("g2")))
+    # rows that only an undated nearest row lets stand side by side are different persons: the nearest and its ties stay
+    ok = ok.withColumn("alike", alike)
+    top = lambda c: F.max(F.when(F.col("alike"), F.col(c))).over(by_doc)
+    ok = ok.withColumn("top_birth", top("r_birth")).withColumn("top_death", top("r_death"))
+    one = F.min(F.when(F.col("alike"), agree(F.col("r_birth"), F.col("top_birth")) & agree(F.col("r_death"), F.col("top_death")))).over(by_doc)
+    ok = ok.withColumn("one", one)
+    kept = ok.filter((F.col("alike") & F.col("one")) | (F.col("score") == F.col("best"))).filter(~loose | F.col("dated") | F.col("g1").isNull() | (F.col("g1") == F.col("g2")))
     # gap to the nearest row that is another person
     other = s.join(kept.select("doc", "row", F.lit(True).alias("k")), ["doc", "row"], "left").filter("k is null").groupBy("doc").agg(F.max("score").alias("second"))
     out = cut(kept.join(other, "doc", "left").select("row", "doc", "score", (F.col("score") - F.coalesce("second", F.lit(0.0))).alias("gap"), "dated", "g"))

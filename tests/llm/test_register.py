@@ -39,3 +39,11 @@ def test_an_undated_title_on_a_frequent_name(spark):
     docs = spark.createDataFrame([("d1", "Lapide di Quinto Rossettini"), ("d2", "Lapide di Aldo Rossettini"), ("d3", "Lapide di Zeno Rossettini")], "document_id string, title string")
     got = {(r.caduto_id, r.document_id) for r in match_titles(reg, docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").collect()}
     assert got == {(1, "d1"), (2, "d2")}
+
+
+def test_an_undated_row_beside_namesakes(spark):
+    # the undated row is nearest; rows that contradict each other don't come along, a row that nothing contradicts does
+    reg = spark.createDataFrame([(1, "Mario Rossettini", None, None), (2, "Mario Rossettini", "1920", None), (3, "Mario Rossettini", "1931", None), (4, "Carlo Moncolinza", None, None), (5, "Carlo Moncolinza", "1920", None), *[(10 + i, f"Dario Cognome{'abcdefgh'[i]}ini", None, None) for i in range(8)]], "caduto_id long, nome string, nascita string, morte string")
+    docs = spark.createDataFrame([("d1", "Lapide di Mario Rossettini"), ("d2", "Lapide di Carlo Moncolinza"), ("d3", "Lapide di Mario Rossettini (1931 - 1944)")], "document_id string, title string")
+    got = {(r.caduto_id, r.document_id) for r in match_titles(reg, docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").collect()}
+    assert got == {(1, "d1"), (4, "d2"), (5, "d2"), (1, "d3"), (3, "d3")}
