@@ -255,15 +255,15 @@ TIMES, LEAST = 4, 3
 
 
 def misread_words(counts: DataFrame) -> DataFrame:
-    """(word, true) of misread words from (word, n): the most frequent word that explains each; true is null where none does."""
+    """(word, intended) of misread words from (word, n): the most frequent word that explains each, null where none does."""
     c = cut(counts.filter(F.length("word") >= 3).withColumn("k", skeleton(F.col("word"))))
-    known = c.filter(F.col("n") >= LEAST).select("k", F.col("word").alias("true"), F.col("n").alias("m"))
-    pairs = c.join(known, "k").filter((F.col("word") != F.col("true")) & (F.col("m") >= TIMES * F.col("n")))
+    known = c.filter(F.col("n") >= LEAST).select("k", F.col("word").alias("intended"), F.col("n").alias("m"))
+    pairs = c.join(known, "k").filter((F.col("word") != F.col("intended")) & (F.col("m") >= TIMES * F.col("n")))
     # a word that is usual itself isn't a misreading, however usual the other one is
-    pairs = pairs.filter(_confused("word", "true"))
-    best = pairs.groupBy("word").agg(F.max(F.struct("m", "true")).alias("b")).select("word", F.col("b.true").alias("true"))
+    pairs = pairs.filter(_confused("word", "intended"))
+    best = pairs.groupBy("word").agg(F.max(F.struct("m", "intended")).alias("b")).select("word", F.col("b.intended").alias("intended"))
     odd = counts.filter(F.col("word").rlike(MIXED) | F.col("word").contains("ſ")).select("word")
-    return best.join(odd, "word", "full_outer").select("word", "true")
+    return best.join(odd, "word", "full_outer").select("word", "intended")
 
 
 class Scanned:
@@ -305,7 +305,7 @@ class Scanned:
         inline = self.body.select("src", "rec_key", "line_no", F.explode("words").alias("word")).join(self.misread, "word", "left_semi")
         over = self.broken.filter("right <> ''").withColumn("word", F.concat("left", "right")).join(self.misread, "word")
         # of a broken word, the line that holds the misread part
-        first = F.coalesce(~F.col("true").startswith(F.col("left")), F.col("left").rlike(r"\p{N}|ſ"))
+        first = F.coalesce(~F.col("intended").startswith(F.col("left")), F.col("left").rlike(r"\p{N}|ſ"))
         over = over.select("src", "rec_key", F.when(first, F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"))
         wrong = inline.select("src", "rec_key", "line_no").unionByName(over).withColumn("kind", F.lit("char_error"))
         return marked.unionByName(broken).unionByName(wrong).distinct()
@@ -313,7 +313,7 @@ class Scanned:
     def texts(self) -> DataFrame:
         """(src, rec_key, text): continuous paragraphs, parted by blank lines."""
         words = self.body.select("src", "rec_key", F.explode("words").alias("word")).unionByName(self.broken.select("src", "rec_key", F.concat("left", "right").alias("word")))
-        fixes = words.join(self.misread.filter("true is not null"), "word").groupBy("src", "rec_key").agg(F.collect_set(F.struct("word", "true")).alias("fixes"))
+        fixes = words.join(self.misread.filter(F.col("intended").isNotNull()), "word").groupBy("src", "rec_key").agg(F.collect_set(F.struct("word", "intended")).alias("fixes"))
         cuts = self.broken.groupBy("src", "rec_key").agg(F.collect_list("line_no").alias("cuts"))
         labels = self.lines.groupBy("src", "rec_key").agg(F.collect_list(F.struct("line_no", "label")).alias("labels"))  # as long as the record
         r = self.records.join(labels, ["src", "rec_key"]).join(cuts, ["src", "rec_key"], "left").join(fixes, ["src", "rec_key"], "left")
@@ -323,7 +323,7 @@ class Scanned:
                 out = []
                 for src, key, lines, labels_, cuts_, fixes_ in zip(pdf["src"], pdf["rec_key"], pdf["lines"], pdf["labels"], pdf["cuts"], pdf["fixes"]):
                     lab = {x["line_no"]: x["label"] for x in labels_}
-                    fix = {x["word"]: x["true"] for x in fixes_} if fixes_ is not None else {}
+                    fix = {x["word"]: x["intended"] for x in fixes_} if fixes_ is not None else {}
                     out.append((src, key, paragraphs([x["text"] or "" for x in lines], lab, set(cuts_) if cuts_ is not None else set(), fix)))
                 yield pd.DataFrame(out, columns=["src", "rec_key", "text"])
 
