@@ -9,6 +9,10 @@ from ..session import table
 from .scanned import Scanned
 
 
+#: Sources whose records are single pages.
+PAGES = ["regions_text", "reference_text"]
+
+
 def scanned_records(spark: SparkSession, d: str) -> DataFrame:
     """(src, rec_key, lines) of the three sources."""
     pages = table(spark, d, "ocr_pages").select(
@@ -22,12 +26,12 @@ def scanned_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return Scanned(scanned_records(spark, d)).found()
+    return Scanned(scanned_records(spark, d), PAGES).found()
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     """Each record as continuous readable paragraphs."""
-    return Scanned(scanned_records(spark, d)).texts()
+    return Scanned(scanned_records(spark, d), PAGES).texts()
 
 
 QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts}

@@ -2,9 +2,11 @@
 
 1. Labelling: each page's lines are a sequence with the states body, head and number (blank lines are breaks). A line's
    score for a state is a weighted sum of layout features (shape of a number, indent against the body's margin,
-   distance to the page's edge, length, capitals, ends and starts of sentences, titles of works read with a few errors), a transition
-   has its own weight, and the best path is decoded (Viterbi). Running heads and numbers inside a transcript of several
-   pages are found the same way, as they interrupt a sentence.
+   distance to the page's edge, length, capitals, ends and starts of sentences, how often lines worded alike stand at the
+   edge of other pages), a transition has its own weight, and the best path is decoded (Viterbi). Running heads and
+   numbers inside a transcript of several pages are found the same way, as they interrupt a sentence. No list of titles is
+   used: which wordings head pages is counted over all pages of single scans. Weights are fitted to the pages themselves:
+   from START, decoding and a logistic fit (with START as its prior) take turns over a bounded sample of records.
 2. Broken words: a body line that ends in a hyphen goes on in the next body line, behind heads and numbers. Whether the
    hyphen is the word's own is decided by how often the corpus has the joined and the hyphenated word in mid-line.
 3. Misread characters: words of the whole corpus are counted; words that fall together when characters that scanners confuse are
@@ -17,25 +19,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from statistics import median
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, spread
-from .places import edit_distance, swap_distance
-
-# Titles of works as they stand in running heads, by language; * stands for a name.
-WORKS = """
-bollettino storico|diario di guerra|diario storico|atti della commissione|carte del distretto|registro dei caduti di *|relazione del comando *|memorie del reparto *|elenco dei caduti *
-verlustliste|kriegstagebuch *|bericht über die ereignisse|akten der dienststelle *|gefallenenliste *
-report on graves|war diary *|casualty returns *|papers of the enquiry|roll of honour *
-rapport du bureau|journal de marche|notes sur *|registre des décès *
-книга погребений|донесение о потерях|журнал боевых действий|список потерь
-""".strip().replace("\n", "|").split("|")
+from ..session import cut, forget, spread
+from .linkage import edit_pairs, swaps
+
 # a numeral with digits, some read as letters; one read as letters throughout; a Roman one
 _NUMERAL = r"(?:(?=[lIiOoSsBzZ|]*[0-9])[0-9lIiOoSsBzZ|]{1,5}|[lIO|]{2,4}|(?=[ivxlcIVXLC])(?:[cC]{0,3}(?:[xX][cC]|[xX][lL]|[lL]?[xX]{0,3})(?:[iI][xX]|[iI][vV]|[vV]?[iI]{0,3})))"
 NUMBER = re.compile(
@@ -43,126 +37,166 @@ NUMBER = re.compile(
     re.I,
 )
 HYPHENS = "-‐¬­="
+_HYPHEN_ENDS = tuple(HYPHENS)
+#: Entries of contents, lists and totals; a running head beside a page number.
+LISTED = re.compile(r"\.{3,}\s*\d|^\d+[.)]\s|^(?:totale|total|summe|итог|итого)\b", re.I)
+PAGED = re.compile(rf"^\W*\d{{1,4}}\s{{2,}}\S|\s[–—]\s+{_NUMERAL}\W*$")
 _BROKEN = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
 _WORD = re.compile(r"[^\W_ſ]*[\wſ]+(?:[-‐'’][\wſ]+)*")
 _END = re.compile(r"[.!?…:»\"”)]$")
 
-# Weights of the linear-chain model (state scores against body = 0, and transitions).
-W = {
-    "number": 7.0, "number_edge": 2.0, "number_plain_year": -9.0, "number_in_sentence": -6.0, "number_goes_on": 3.0,
-    "work": 12.0, "head_edge": 1.5, "head_off": 5.0, "head_caps": 0.8, "head_goes_on": 2.0, "head_short": 1.0, "head_bias": -7.5, "head_sentence": -5.0, "head_page": 1.5, "list": -8.0,
-    "same_margin": -2.5,
-}
-TRANSITION = {("body", "body"): 0.0, ("body", "head"): -0.5, ("body", "number"): -0.5, ("head", "body"): 0.0, ("number", "body"): 0.0, ("head", "number"): 0.8, ("number", "head"): 0.8, ("head", "head"): -4.0, ("number", "number"): -4.0}
 STATES = ("body", "head", "number")
-
-
-def _fold(s: str) -> str:
-    return s.lower().translate(str.maketrans({"0": "o", "1": "l", "5": "s", "ё": "е"}))
-
-
-_WORKS = [(_fold(w.rstrip(" *")), w.endswith("*")) for w in WORKS]
-
-
-@lru_cache(maxsize=200_000)
-def work_title(line: str) -> bool:
-    """Whether a line names a work, with or without a number beside it, some characters misread."""
-    if len(line) > 80 or line[:1].islower():
-        return False
-    s = re.sub(rf"^\W*{_NUMERAL}\W*\s{{2,}}|\s+[–—-]+\s+{_NUMERAL}\W*$|,\s*[IVXLCivxlcl1|]{{1,7}}\.?$|^\W*\d{{1,4}}\W+(?=\S)|\s{{2,}}\d{{1,4}}\W*$", "", line.strip())
-    s = _fold(re.sub(r"[^\w\s'«»]", " ", s))
-    s = re.sub(r"\s+", " ", s).strip()
-    if not s or len(s) > 70:
-        return False
-    for w, named in _WORKS:
-        slack = 1 if len(w) < 13 else 2
-        if len(s) < len(w) - slack or (not named and len(s) > len(w) + slack) or edit_distance(s[: len(w)], w) > 2 * slack:
-            continue  # the metric bounds the other one: a swap counts two
-        if named:
-            head = s[: len(w)]
-            rest = s[len(w) :]
-            if (head == w or any(swap_distance(s[: len(w) + d], w) <= slack for d in (-1, 0, 1))) and len(rest.split()) <= 5:
-                return True
-        elif abs(len(s) - len(w)) <= slack and swap_distance(s, w) <= slack:
-            return True
-    return False
+#: Features of a head against body, and of a number; a line that isn't shaped like a number is none.
+HEAD = ("bias", "edge", "short", "caps", "goes_on", "off", "margin", "sentence", "list", "paged", "seen", "usual", "runs_on")
+NUM = ("bias", "edge", "goes_on", "off", "margin", "year", "in_sentence", "letter")
+#: Weights before the fit, and the fit's prior; transitions by (from, to) in the order of STATES.
+START = {
+    "head": np.array([-7.5, 1.5, 1.0, 0.8, 2.0, 5.0, -2.5, -5.0, -8.0, 1.5, 6.0, 10.0, -2.0]),
+    "number": np.array([7.0, 2.0, 3.0, 5.0, -2.5, -9.0, -6.0, -6.0]),
+    "moves": np.array([[0.0, -0.5, -0.5], [0.0, -4.0, 0.8], [0.0, 0.8, -4.0]]),
+}
+#: Records to which the weights are fitted at most (the first by hash), rounds of the fit, strength of its prior.
+FIT_RECORDS, FIT_ROUNDS, PRIOR = 2_000, 3, 1.0
+#: Share of a wording's pages at whose edge it stands, for a wording seen and a usual one; pages that must have it.
+SEEN, USUAL, PAGES = 0.45, 0.65, 3
+#: What the share of a first word alone counts, as it says less than a longer beginning.
+ONE_WORD = 0.65
 
 
 _BEFORE_NUMBER = frozenset("a ad al alle di del dal il nel nr nummer numero box folder file mappe karton band busta cartella fascicolo furono circa etwa rund about some in und e et de le la au vom am seit lists shows omits bears bore bore on by around около в из указано записано марта".split())
 
 
-def label_lines(lines: list[str], offsets: list[float | None] | None = None) -> list[str]:
-    """body, head, number or break for each line; offsets: a line's left edge, where the layout is known."""
+def line_features(lines: list[str], offsets: list[float | None] | None = None, seen: dict[int, float] | None = None) -> tuple[list[int], list[tuple[tuple, tuple | None]]]:
+    """Numbers of the lines that aren't blank, and each one's features (head, number; None if it has no number's shape).
+
+    offsets: a line's left edge, where the layout is known; seen: share of pages with its wording at their edge, by line.
+    """
+    seen = seen or {}
     idx = [k for k, x in enumerate(lines) if x and x.strip()]
-    out = ["break"] * len(lines)
     n = len(idx)
     if not n:
-        return out
+        return idx, []
     text = [lines[k].strip() for k in idx]
     width = median(sorted(len(x) for x in text)[-max(1, n // 2) :])
     left = None
     if offsets:
         known = sorted(offsets[k] for k in idx if offsets[k] is not None and len(lines[k].strip()) >= 0.6 * width)
         left = median(known) if known else None
-    score: list[dict[str, float]] = []
+    shaped = [bool(NUMBER.match(x)) and not LISTED.search(x) for x in text]
+    outer = lambda j: shaped[j] or seen.get(idx[j], 0.0) >= SEEN
+    ends = [bool(_END.search(x)) for x in text]
+    out = []
     for j, x in enumerate(text):
-        prev, nxt = (text[j - 1] if j else ""), (text[j + 1] if j + 1 < n else "")
-        edge = j == 0 or j == n - 1 or (j == 1 and bool(NUMBER.match(text[0]) or work_title(text[0]))) or (j == n - 2 and bool(NUMBER.match(text[-1]) or work_title(text[-1])))
-        open_before = bool(prev) and not _END.search(prev)
-        goes_on = nxt[:1].islower() and open_before
-        off = offsets[idx[j]] - left if left is not None and offsets and offsets[idx[j]] is not None else None
-        num = head = 0.0
-        if NUMBER.match(x):
-            num = W["number"] + W["number_edge"] * edge + W["number_goes_on"] * goes_on
-            if off is not None:
-                num += W["head_off"] if off > 8 else W["same_margin"]
-            elif re.fullmatch(r"(1[89]\d\d)\W*", x) and not goes_on:
-                num += W["number_plain_year"]
-            elif open_before and not goes_on and re.fullmatch(r"\d+\.", x) and _words(prev)[-1:] and _words(prev)[-1] in _BEFORE_NUMBER:
-                num += W["number_in_sentence"]
-            if not re.search(r"\d", x) and re.fullmatch(r"\W*[a-z]\W*", x, re.I) and not edge:
-                num -= 6.0
-        else:
-            num = -20.0
-        head = W["head_bias"]
-        if work_title(x):
-            head += W["work"]
-        if len(x) < 0.8 * width or len(x) < 45:
-            head += W["head_short"]
-        head += W["head_edge"] * edge + W["head_caps"] * (x.isupper() and len(x) > 3) + W["head_goes_on"] * goes_on
-        if off is not None:
-            head += W["head_off"] if off > 8 else W["same_margin"]
-        if _END.search(x) and not work_title(x) or x.endswith(tuple(HYPHENS)) or x[:1].islower():
-            head += W["head_sentence"]
-        if re.search(r"\.{3,}\s*\d|^\d+[.)]\s", x) or re.match(r"(?i)^(?:totale|total|summe|итог|итого)\b", x):
-            head += W["list"]
-            num = -20.0
-        if re.search(rf"^\W*\d{{1,4}}\s{{2,}}\S|\s[–—]\s+{_NUMERAL}\W*$", x):
-            head += W["head_page"]
-        score.append({"body": 0.0, "head": head, "number": num})
-    best = [dict.fromkeys(STATES, (0.0, ""))]
-    best[0] = {s: (score[0][s], "") for s in STATES}
-    for j in range(1, n):
-        best.append({s: max(((best[j - 1][p][0] + TRANSITION[p, s] + score[j][s], p) for p in STATES), key=lambda v: v[0]) for s in STATES})
-    s = max(STATES, key=lambda q: best[-1][q][0])
-    for j in range(n - 1, -1, -1):
-        out[idx[j]] = s
-        s = best[j][s][1]
+        edge = j == 0 or j == n - 1 or (j == 1 and outer(0)) or (j == n - 2 and outer(n - 1))
+        open_before = j > 0 and not ends[j - 1]
+        goes_on = open_before and j + 1 < n and text[j + 1][:1].islower()
+        runs_on = not goes_on and not ends[j] and j + 1 < n and text[j + 1][:1].islower()
+        off = offsets[idx[j]] - left if left is not None and offsets[idx[j]] is not None else None
+        away, margin = (off > 8, off <= 8) if off is not None else (False, False)
+        num = None
+        if shaped[j]:
+            year = off is None and not goes_on and re.fullmatch(r"1[89]\d\d\W*", x)
+            inside = off is None and not year and open_before and not goes_on and re.fullmatch(r"\d+\.", x) and _words(text[j - 1])[-1:] and _words(text[j - 1])[-1] in _BEFORE_NUMBER
+            num = (1, edge, goes_on, away, margin, bool(year), bool(inside), not edge and bool(re.fullmatch(r"\W*[a-z]\W*", x, re.I)))
+        share = seen.get(idx[j], 0.0)
+        sentence = x[:1].islower() or x.endswith(_HYPHEN_ENDS) or (ends[j] and share < USUAL)
+        head = (1, edge, len(x) < 0.8 * width or len(x) < 45, x.isupper() and len(x) > 3, goes_on, away, margin, sentence, bool(LISTED.search(x)), bool(PAGED.search(x)), SEEN <= share < USUAL, share >= USUAL, runs_on)
+        out.append((head, num))
+    return idx, out
+
+
+def decode(features: list[tuple[tuple, tuple | None]], weights: dict) -> list[int]:
+    """The best path of states over the lines of a record (Viterbi)."""
+    wh, wn, t = weights["head"].tolist(), weights["number"].tolist(), weights["moves"].tolist()
+    best, back = None, []
+    for head, num in features:
+        own = (0.0, -50.0, sum(w for w, f in zip(wn, num) if f)) if num else (0.0, sum(w for w, f in zip(wh, head) if f), -50.0)
+        if best is None:
+            best = own
+            back.append((0, 0, 0))
+            continue
+        now, ways = [], []
+        for s in (0, 1, 2):
+            a, b, c = best[0] + t[0][s], best[1] + t[1][s], best[2] + t[2][s]
+            p = 0 if a >= b and a >= c else 1 if b >= c else 2
+            now.append((a, b, c)[p] + own[s])
+            ways.append(p)
+        best = now
+        back.append(ways)
+    if best is None:
+        return []
+    s = max((0, 1, 2), key=lambda q: best[q])
+    path = []
+    for ways in reversed(back):
+        path.append(s)
+        s = ways[s]
+    return path[::-1]
+
+
+def label_lines(lines: list[str], offsets: list[float | None] | None = None, seen: dict[int, float] | None = None, weights: dict = START) -> list[str]:
+    """body, head, number or break for each line."""
+    idx, features = line_features(lines, offsets, seen)
+    out = ["break"] * len(lines)
+    for k, s in zip(idx, decode(features, weights)):
+        out[k] = STATES[s]
     return out
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Weights of a logistic fit whose Gaussian prior stands at ``prior``; Newton's steps, halved while they don't help."""
+    w, loss = prior.copy(), lambda v: float(np.logaddexp(0, x @ v).sum() - y @ (x @ v) + ((v - prior) ** 2).sum() / (2 * PRIOR**2))
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / PRIOR**2, x.T @ (y - p) - (w - prior) / PRIOR**2)
+        size = 1.0
+        while size > 1e-3 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if size * np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def fit_weights(records: list[list[tuple[tuple, tuple | None]]]) -> dict:
+    """Weights fitted to records' features without labels: decoding and a conditional fit take turns, from START on."""
+    weights, records = START, [r for r in records if r]
+    if not records:
+        return weights
+    heads = np.array([h for r in records for h, _ in r], dtype=float)
+    shaped = np.array([n is not None for r in records for _, n in r])
+    nums = np.array([n for r in records for _, n in r if n is not None], dtype=float).reshape(-1, len(NUM))
+    for _ in range(FIT_ROUNDS):
+        paths = [decode(r, weights) for r in records]
+        y = np.array([s for p in paths for s in p])
+        moves, totals = np.ones((3, 3)), np.zeros(3)
+        for p in paths:
+            for a, b in zip(p, p[1:]):
+                moves[a, b] += 1
+        totals = moves.sum(axis=0) / moves.sum()
+        gain = np.log(moves / moves.sum(axis=1, keepdims=True) / totals)
+        new = {
+            "head": _logistic(heads[~shaped], (y[~shaped] == 1).astype(float), START["head"]),
+            "number": _logistic(nums, (y[shaped] == 2).astype(float), START["number"]) if len(nums) else START["number"],
+            "moves": np.clip(gain - gain[:, :1], -4.0, 2.0),
+        }
+        if all(np.allclose(new[k], weights[k], atol=1e-3) for k in new):
+            break
+        weights = new
+    return weights
+
+
 def _words(line: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(line.replace("‐", "-").replace("’", "'"))]
 
 
-def read_lines(lines: list[str | None], offsets: list[float | None] | None = None) -> list[tuple]:
+def read_lines(lines: list[str | None], offsets: list[float | None] | None = None, seen: dict[int, float] | None = None, weights: dict = START) -> list[tuple]:
     """(line_no, label, words, left, right, hard, next_no) of each line that isn't blank.
 
     left and right are the parts of a word that the line's end splits (right '' at the end of the record), hard says
     that its mark is never part of a spelling; both parts are left out of words.
     """
     text = [x or "" for x in lines]
-    labels = label_lines(text, offsets)
+    labels = label_lines(text, offsets, seen, weights)
     body = [k for k, m in enumerate(labels) if m == "body"]
     after = {a: b for a, b in zip(body, body[1:])}
     words = {k: _words(text[k]) for k in body}
@@ -187,19 +221,104 @@ def read_lines(lines: list[str | None], offsets: list[float | None] | None = Non
 _LINES = "src string, rec_key string, line_no long, label string, words array<string>, left string, right string, hard boolean, next_no long"
 
 
-def label_records(records: DataFrame) -> DataFrame:
-    """Labelled lines of records (src, rec_key, lines array<struct<text, x0>>)."""
+def wordings(records: DataFrame) -> DataFrame:
+    """(src, rec_key, line_no, edge, keys) of the lines that may head a page: no sentence's end, no small letter first.
+
+    keys are the line's wording without its number: whole, its first one to three words, its length with its last two words (of two words the last).
+    edge tells whether it is one of the first or last two lines that aren't blank.
+    """
+    text = F.transform("lines", lambda x: F.trim(F.coalesce(x["text"], F.lit(""))))
+    at = F.filter(F.transform("t", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    r = records.select("src", "rec_key", text.alias("t")).withColumn("at", at)
+    outer = F.array_union(F.slice("at", 1, 2), F.slice("at", F.greatest(F.size("at") - 1, F.lit(1)), 2))
+    r = r.select("src", "rec_key", outer.alias("outer"), F.posexplode("t").alias("line_no", "x"))
+    r = r.filter(F.col("x").rlike(rf"^[^\p{{Ll}}]") & ~F.col("x").rlike(rf"(?:[.!?…:;,]|[{HYPHENS}])$|^\d+[.)]\s|\.{{3,}}|^[^\p{{L}}\p{{N}}]*\p{{L}}{{0,6}}[^\p{{L}}\p{{N}}]*\S*\d\S*$"))
+    numeral = r"(?:[0-9lIiOoSsBzZ|]*[0-9][0-9lIiOoSsBzZ|]*|[ivxlcIVXLC1|]+)"
+    bare = F.regexp_replace("x", rf"^[^\p{{L}}\p{{N}}]*{numeral}[^\p{{L}}\p{{N}}]*\s{{2,}}|\s+[–—-]+\s+{numeral}[^\p{{L}}\p{{N}}]*$|,\s*{numeral}\.?$|\s{{2,}}{numeral}[^\p{{L}}\p{{N}}]*$", "")
+    w = F.filter(F.split(F.translate(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "), "015ё", "olsе"), " "), lambda v: v != "")
+    r = r.select("src", "rec_key", F.col("line_no").cast("long").alias("line_no"), F.array_contains("outer", F.col("line_no")).alias("edge"), w.alias("w")).filter(F.size("w") > 0)
+    n, part = F.size("w"), lambda k, a, m: F.concat(F.lit(k), F.concat_ws(" ", F.slice("w", a, m)))
+    keys = F.array(
+        F.concat(F.lit("f:"), F.concat_ws(" ", "w")), *[F.when(n > m, part("p:", 1, m)) for m in (1, 2, 3)],
+        F.when(n > 2, F.concat(F.lit("s:"), n, part(":", F.greatest(n - 1, F.lit(1)), 2))), F.when(n == 2, part("e:", n, 1)),
+    )
+    return r.select("src", "rec_key", "line_no", "edge", F.filter(keys, lambda k: k.isNotNull()).alias("keys"))
+
+
+def sure_share(e: Column, n: Column) -> Column:
+    """A share less what few pages leave uncertain (three quarters of 1 / sqrt n)."""
+    n = F.greatest(n, F.lit(1))
+    return e / n - 0.75 / F.sqrt(n)
+
+
+def head_lines(records: DataFrame, pages: list[str] | None = None) -> DataFrame:
+    """(src, rec_key, line_no, share) of lines whose wording stands at the edge of other pages; others have no row.
+
+    The share is that of the pages of ``pages`` (sources whose records are single pages; all when None) with this wording on
+    which it stands at the edge, the line's own page apart. A wording one edit from a usual one shares its count.
+    """
+    made = [w := cut(wordings(records))]
+    single = F.col("src").isin(pages) if pages else F.lit(True)
+    by_key = w.select("src", "rec_key", single.alias("single"), "edge", F.explode("keys").alias("k")).filter(F.col("single") | F.col("k").startswith("f:"))
+    per_page = by_key.groupBy("k", "src", "rec_key", "single").agg(F.max(F.col("edge").cast("long")).alias("e"))
+    page = F.col("single").cast("long")
+    counts = cut(per_page.groupBy("k").agg(F.sum(page).alias("n"), F.sum(page * F.col("e")).alias("e"), F.count(F.lit(1)).alias("m")).filter(F.col("m") >= PAGES))
+    made.append(counts)
+    # where several records repeat a whole wording, none of them a single page, its first word alone says nothing
+    furniture = counts.filter("n = 0").select(F.col("k").alias("whole"))
+    counts = counts.filter(F.col("n") >= PAGES)
+    each = w.select("src", "rec_key", "line_no", single.cast("long").alias("own"), (single & F.col("edge")).cast("long").alias("own_edge"), F.col("keys")[0].alias("whole"), F.explode("keys").alias("k"))
+    alone = F.col("k").rlike("^p:[^ ]+$")
+    each = each.filter(~alone).unionByName(each.filter(alone).join(furniture, "whole", "left_anti"))
+    share = sure_share(F.col("e") - F.col("own_edge"), F.col("n") - F.col("own")) * F.when(alone, ONE_WORD).otherwise(1.0)
+    exact = each.join(counts, "k").filter(F.col("n") - F.col("own") >= PAGES - 1).withColumn("share", share).filter(F.col("share") >= SEEN)
+    exact = cut(exact.groupBy("src", "rec_key", "line_no").agg(F.max("share").alias("share")))
+    # misread wordings: one edit from a whole wording that is usual
+    usual = counts.filter(F.col("k").rlike("^(?:f:|p:.* )") & (F.length("k") >= 10) & (sure_share(F.col("e"), F.col("n")) >= SEEN))
+    left = w.join(exact.filter(F.col("share") >= USUAL), ["src", "rec_key", "line_no"], "left_anti").select("src", "rec_key", "line_no", F.explode("keys").alias("k")).filter(F.col("k").rlike("^(?:f:|p:.* )") & (F.length("k") >= 10))
+    forms = left.select("k").distinct().select(F.xxhash64("k").alias("form"), F.lit("").alias("block"), F.lit("l").alias("role"), F.col("k").alias("word"))
+    forms = forms.unionByName(usual.select(F.xxhash64(F.lit("usual"), "k").alias("form"), F.lit("").alias("block"), F.lit("r").alias("role"), F.col("k").alias("word")))
+    near = edit_pairs(forms)
+    near = near.join(forms.select(F.col("form").alias("a"), F.col("word").alias("k")), "a").join(usual.select(F.xxhash64(F.lit("usual"), "k").alias("b"), F.col("k").alias("u"), (sure_share(F.col("e"), F.col("n"))).alias("share")), "b")
+    near = near.filter(swaps("k", "u") <= 1).groupBy("k").agg(F.max("share").alias("share"))
+    out = cut(exact.unionByName(left.join(near, "k").select("src", "rec_key", "line_no", "share")).groupBy("src", "rec_key", "line_no").agg(F.max("share").alias("share")))
+    forget(*made, exact)
+    return out
+
+
+def _offsets(lines: list) -> list[float | None] | None:
+    xs = [x["x0"] for x in lines]
+    return xs if any(v is not None for v in xs) else None
+
+
+def label_records(records: DataFrame, weights: dict = START) -> DataFrame:
+    """Labelled lines of records (src, rec_key, lines array<struct<text, x0>>, seen map<line_no, share>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for src, key, lines in zip(pdf["src"], pdf["rec_key"], pdf["lines"]):
-                xs = [x["x0"] for x in lines]
-                offs = xs if any(v is not None for v in xs) else None
-                out += [(src, key, *r) for r in read_lines([x["text"] for x in lines], offs)]
+            for src, key, lines, seen in zip(pdf["src"], pdf["rec_key"], pdf["lines"], pdf["seen"]):
+                out += [(src, key, *r) for r in read_lines([x["text"] for x in lines], _offsets(lines), dict(seen) if seen is not None else None, weights)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _LINES.split(", ")])
 
-    return records.select("src", "rec_key", "lines").filter("lines is not null").mapInPandas(run, _LINES)
+    return records.select("src", "rec_key", "lines", "seen").filter("lines is not null").mapInPandas(run, _LINES)
+
+
+def fitted(records: DataFrame, rows: int = FIT_RECORDS) -> dict:
+    """Weights fitted to at most ``rows`` records, the first by the hash of their keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for lines, seen in zip(pdf["lines"], pdf["seen"]):
+                f = line_features([x["text"] or "" for x in lines], _offsets(lines), dict(seen) if seen is not None else None)[1]
+                out.append(("".join("".join("01"[bool(v)] for v in (*h, *(n or ()))) + ";" for h, n in f),))
+            yield pd.DataFrame(out, columns=["f"])
+
+    first = records.filter("lines is not null").orderBy(F.xxhash64("src", "rec_key"), "src", "rec_key").limit(rows)
+    got = [r.f for r in first.repartition(records.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "f string").collect()]
+    back = lambda x: (tuple(map(int, x[: len(HEAD)])), tuple(map(int, x[len(HEAD) :])) or None)
+    return fit_weights([[back(x) for x in f.split(";") if x] for f in sorted(got)])
 
 
 # How scanners misread characters (true, read); the first of a class stands for it in the key.
@@ -269,14 +388,18 @@ def misread_words(counts: DataFrame) -> DataFrame:
 class Scanned:
     """The steps over one corpus of records; every table is made once."""
 
-    def __init__(self, records: DataFrame):
-        """records: src, rec_key, lines array<struct<text string, x0 double>>.
+    def __init__(self, records: DataFrame, pages: list[str] | None = None):
+        """records: src, rec_key, lines array<struct<text string, x0 double>>; pages: sources whose records are single pages.
 
         A null or empty list of lines gives no rows, a null line is a blank one; records delivered twice count once
         in every result; lines of any length are read whole; an empty table gives empty results.
         """
         self.records = records.groupBy("src", "rec_key").agg(F.min("lines").alias("lines"))
-        self.lines = cut(label_records(spread(self.records, "src", "rec_key")))
+        heads = head_lines(self.records, pages)
+        by_record = heads.groupBy("src", "rec_key").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "share"))).alias("seen"))  # as long as the record
+        read = cut(self.records.join(by_record, ["src", "rec_key"], "left"))
+        self.lines = cut(label_records(spread(read, "src", "rec_key"), fitted(read)))
+        forget(heads, read)
         self.body = self.lines.filter("label = 'body'")
         inline = self.body.select(F.explode("words").alias("word"))
         joined = self.body.filter("right <> ''").select(F.concat("left", "right").alias("word"))

@@ -61,7 +61,7 @@ LINES = ["BOLLETTINO STORICO", "La commissione prende atto che il registro conse
 
 
 def test_line_labels():
-    assert S.label_lines(LINES) == ["head", "body", "body", "body", "number", "head", "body", "break", "body", "body", "body", "number"]
+    assert S.label_lines(LINES, None, {0: 0.9, 5: 0.7}) == ["head", "body", "body", "body", "number", "head", "body", "break", "body", "body", "body", "number"]
     assert S.label_lines([]) == [] and S.label_lines(["", " "]) == ["break", "break"]
     for t in ("l83", "p. 43", "c. 12v", "42/82", "xxxv", "Seite 3", "[12]", "lO5"):
         assert S.NUMBER.match(t), t
@@ -76,7 +76,8 @@ def test_confusions():
 
 def test_scanned(spark):
     plain = [["Il testimone precisa che la colonna passasse per nord-ovest del monte Alto."]] * 12
-    recs = [("a", "1", LINES), ("a", "2", ["Il testirnone precisa che la colonna.", None, "poi con5ervato"]), ("a", "3", []), ("a", "4", None), ("a", "5", ["Il fronte del nord-"]), ("a", "6", ["La zona era conser-"])] + [("p", str(i), x) for i, x in enumerate(plain)]
+    heads = [[f"{n}   Bollettino storico" if n % 2 else "BOLLETTINO STORICO", *x] for n, x in enumerate(plain)]
+    recs = [("a", "1", LINES), ("a", "2", ["Il testirnone precisa che la colonna.", None, "poi con5ervato"]), ("a", "3", []), ("a", "4", None), ("a", "5", ["Il fronte del nord-"]), ("a", "6", ["La zona era conser-"])] + [("p", str(i), x) for i, x in enumerate(heads)]
     rows = [(s, k, None if x is None else [(t, None) for t in x]) for s, k, x in recs + recs[:1]]
     df = spark.createDataFrame(rows, "src string, rec_key string, lines array<struct<text string, x0 double>>")
     sc = S.Scanned(df)
@@ -88,3 +89,25 @@ def test_scanned(spark):
     text = {r.rec_key: r.text for r in sc.texts().filter("src = 'a'").collect()}
     assert "registro conservato nel comune" in text["1"] and "annotò il decesso" in text["1"] and "nord-ovest" in text["1"].replace("nord- ovest", "nord-ovest") and "38" not in text["1"]
     assert text["2"].startswith("Il testimone precisa")
+
+
+def test_words_without_a_true_form_stay(spark):
+    page = ["La colonna ukaz4no passò il monte.", "Ukaz4no il fronte della zona", "e UKAZ4NO il resto del giorno."]
+    df = spark.createDataFrame([("a", "1", [(t, None) for t in page])], "src string, rec_key string, lines array<struct<text string, x0 double>>")
+    sc = S.Scanned(df)
+    assert {(r.line_no, r.kind) for r in sc.found().collect()} == {(0, "char_error"), (1, "char_error"), (2, "char_error")}
+    text = sc.texts().collect()[0].text
+    assert text.split() == " ".join(page).split()
+
+
+def test_heads_are_learned_and_weights_fitted(spark):
+    say = "il registro fu trovato {} nella casa del parroco e la commissione ne prese atto {} senza altro"
+    word = lambda n: "".join("abcdefghil"[int(c)] for c in f"{n:04d}")
+    rows = [("p", str(i), [(f"Quaderno mai visto, {i}" if i % 3 else "QUADRENO MAI VISTO", None), *[(say.format(word(9 * i + k), word(7 * i + k)), None) for k in range(8)]]) for i in range(30)]
+    df = spark.createDataFrame(rows, "src string, rec_key string, lines array<struct<text string, x0 double>>")
+    got = {(r.rec_key, r.line_no, r.kind) for r in S.Scanned(df).found().filter("kind = 'running_head'").collect()}
+    assert got == {(str(i), 0, "running_head") for i in range(30)}
+    w = S.fit_weights([])
+    assert w is S.START
+    empty = S.head_lines(df.limit(0))
+    assert empty.count() == 0
