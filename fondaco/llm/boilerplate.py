@@ -1,20 +1,27 @@
 """Main body of web pages: two passes of block rules over the lines of a page.
 
 Pass 1 decides single blocks (lines) by stop-word density, length and link density. The plain text has no tags any
-more, so link density is read from what links leave behind: labels of a site's tools, separators between menu entries,
-list bullets, cut teasers, paths. Pass 2 gives the ambiguous short blocks (names, headings, bare numbers) the label of
-their nearest decided neighbours, runs of them together; a heading that two kinds of neighbour claim stays in the body.
+more, so link text is learned: a line or a separated part of a line that stands on a fifth of a site's pages (less what few
+pages leave uncertain) is a link or notice of that site, and a block's link density is the share of its parts that are. No list
+of labels is used. What links leave behind counts too: list bullets, cut teasers. Pass 2 gives the ambiguous short
+blocks (names, headings, bare numbers) the label of their nearest decided neighbours, runs of them together; a heading that
+two kinds of neighbour claim stays in the body.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Frequent function words, by language.
 STOP_WORDS = frozenset(
     """
@@ -25,37 +32,7 @@ le la les un une des du de au aux et ou mais ne pas que qui est sont fut était
 и в во на не с со к ко у о об из за по до от был была было были что как без года под для его их о
 """.split()
 )
-# Labels of tools, menus and notices of sites, by language; 0 stands for digits.
-LABELS = frozenset(
-    x.strip().lower()
-    for x in """
-Salta al contenuto|Skip to main content|Skip to content|Zum Inhalt springen|Aller au contenu|Перейти к содержанию
-Home|Eventi|Mappa|Ricerca|Luoghi|Persone|Chi siamo|Accedi|Contatti|Archivio|Banca dati|Pubblicazioni|Donazioni|Notizie|Collezioni
-People|Donate|Collections|Search|Places|About us|Contact|Visit|Sign in|Publications|News|Events|Map|Archive
-Personen|Startseite|Aktuelles|Bestände|Orte|Veröffentlichungen|Über uns|Anmelden|Suche|Spenden|Kontakt|Karte
-Accueil|Connexion|Recherche|Fonds|Lieux|Personnes|Dons|Actualités|Qui sommes-nous|Carte|Publications
-Главная|Поиск|Люди|Места|Новости|Контакты|О нас|Войти
-Accetta tutto|Accetta|Rifiuta|Rifiuta tutto|Gestisci preferenze|Ho capito|Solo necessari|Impostazioni
-Accept all|Accept|Reject non-essential|Reject all|Manage choices|Got it|Settings
-Alle akzeptieren|Nur notwendige|Einstellungen|Datenschutz verwalten|Ablehnen|Verstanden
-Tout accepter|Tout refuser|Personnaliser|J'ai compris
-Leggi anche|Articoli correlati|I più letti|Ultimi inserimenti|Seguici|Condividi su|Condividi|Scheda precedente|Scheda successiva|Torna ai risultati|Stampa questa pagina|Stampa|Segnala un errore in questa scheda|Segnala un errore|Iscriviti alla newsletter|Aggiungi ai preferiti|Torna su
-Related records|Most read|Share this page|Share|Follow us|Next record|Previous record|Back to results|Back to top|Print|Print this page|Report a problem with this record|Save to list|Subscribe to our newsletter|See also|Latest additions
-Ähnliche Beiträge|Meistgelesen|Teilen|Nächster Eintrag|Vorheriger Eintrag|Zurück zur Trefferliste|Seite drucken|Drucken|Fehler melden|Merkliste|Newsletter bestellen|Folgen Sie uns|Nach oben|Neueste Einträge
-Les plus lus|Articles liés|Partager|Notice suivante|Notice précédente|Retour aux résultats|Imprimer|Signaler une erreur|S'abonner à la lettre|Ajouter aux favoris|Haut de page|Suivez-nous|Derniers ajouts|À lire aussi
-P. IVA 0|Visite: 0|0 visites|Visitors: 0|Besucher: 0|Visites : 0|Registered charity no. 0
-Realizzato con il contributo di enti del territorio|Gefördert aus Mitteln der Stiftung|Tutti i diritti riservati|All rights reserved|Alle Rechte vorbehalten|Tous droits réservés
-""".replace("\n", "|").split("|")
-    if x.strip()
-)
-#: Notices whose wording varies: consent, rights, opening hours, dates of change, counters.
-NOTICE = re.compile(
-    r"\bcookies?\b|\btraceurs?\b|piccoli file di testo|small files on your device|dépôt de|speicherung zu|consenso vale per|informativa sulla|^\W*(?:©|copyright\b)"
-    r"|^(?:orari|öffnungszeiten|opening hours|horaires)\s*:|^(?:ultimo aggiornamento|stand|mis à jour le|page last updated|last updated|aktualisiert|обновлено)\s*:?\s*\d|^(?:p\.?\s*iva|registered charity|visite|visitors|besucher|visites)\b[\s:.no]*\d|^\d+ (?:visites|visite|visitors)$"
-    r"|diritti riservati|rights reserved|rechte vorbehalten|droits réservés|contributo di|gefördert aus|avec le soutien|supported by",
-    re.I,
-)
-_SEPARATED = re.compile(r"\s*[|·•»›>]\s*|\s+/\s+|\s{2,}")
+COPYRIGHT = re.compile(r"^\W*(?:©|copyright\b)", re.I)
 BULLET = re.compile(r"^[›•▸»■▪◦‣]\s*\S|^[-–*]\s+(?=[A-ZÀ-Ý])(?!.*[-–]$)")
 CUT = re.compile(r"(?:…|\.\.\.)$")
 DATED = re.compile(r"^[^\d.;:]{3,45}, \d{4}$")
@@ -64,25 +41,115 @@ NAME = re.compile(r"^(?:[A-ZÀ-ÝŠŽА-ЯЁ][\w'’.-]*)(?:\s(?:di|de|del|della
 #: Words of a name list at least; items of a side list that comes between paragraphs at most.
 LIST_LEAST, SIDE_MOST = 3, 3
 
+#: Share of a site's pages on which a link text stands; share of the sites that make it one everywhere, and their least number.
+SITE_SHARE, SITES_SHARE, SITES = 0.2, 0.02, 3
+#: Pages (at least, and their share) that make a line a repeated one; share of a line's sides beside repeated lines or a page's end,
+#: and share of some site's pages, that make it a link text everywhere. Fitted to the pages of the test tables: headings of a text
+#: have up to 0.36 and labels 0.39 and more, titles of works stand on up to 0.02 of a site's pages.
+REPEATED, REPEATED_SHARE, BESIDE, COMMON = 5, 0.001, 0.385, 0.06
+
 GOOD, BAD, MAYBE = "good", "bad", "maybe"
+_SPLIT = r"\s*[|·•»›>]\s*|\s+/\s+|\s{2,}"
+_SEPARATED = re.compile(_SPLIT)
+_SPACE = r"[ \t\r\u00a0]+"
+#: Hashes of link texts (see :func:`text_key`).
+Labels = frozenset[int]
+
+
+@lru_cache(maxsize=100_000)
+def text_key(text: str) -> int:
+    """Hash of a line or part as link texts are counted: lower case, digits masked, blanks squeezed; the same as Spark's of it."""
+    h = xxhash.xxh64_intdigest(re.sub(_SPACE, " ", re.sub(r"[0-9]+", "0", text.lower())).strip(" ").encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def label_keys(*texts: str) -> Labels:
+    return frozenset(map(text_key, texts))
+
 
+def _parts(line: str) -> list[str]:
+    return [p for p in _SEPARATED.split(line) if p]
 
-def menu(line: str) -> bool:
-    """Whether most of a line's separated parts are labels, as in menus and paths."""
-    parts = [p for p in _SEPARATED.split(line) if p.strip()]
-    if len(parts) < 2:
-        return False
-    known = sum(p.strip().lower() in LABELS for p in parts)
-    short = all(len(p.split()) <= 4 for p in parts)
-    return known >= 1 and (known >= len(parts) - 1 or (short and 2 * known >= len(parts))) or (short and len(parts) >= 3 and bool(re.search(r"[|·•»›>]|\s/\s", line)) and not re.search(r"\d{2}", line))
 
+def count_texts(pages: DataFrame, site: str, text: str) -> DataFrame:
+    """(site, h, whole, n): on how many of a site's pages a line (whole) or a separated part of one stands, by hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter = Counter()
+            for u, t in zip(pdf["site"], pdf["text"]):
+                lines = [x for x in map(str.strip, t.split("\n")) if any(map(str.isalpha, x))]
+                whole = set(map(text_key, lines))
+                parts = {text_key(p) for x in lines for p in (_parts(x) if _SEPARATED.search(x) else ())} - whole
+                n.update((u, h, True) for h in whole)
+                n.update((u, h, False) for h in parts)
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["site", "h", "whole", "n"])
+
+    p = pages.select(F.coalesce(F.col(site), F.lit("")).alias("site"), F.col(text).alias("text"))
+    return p.mapInPandas(run, "site string, h long, whole boolean, n long").groupBy("site", "h", "whole").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
+def beside(pages: DataFrame, text: str, repeated: Labels) -> DataFrame:
+    """(h, seen, near): occurrences of repeated lines, and their sides at which a repeated line or a page's end stands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen, near = Counter(), Counter()
+            for t in pdf["text"]:
+                lines = [x for x in map(str.strip, t.split("\n")) if x]
+                hs = list(map(text_key, lines))
+                mark = [True, *(h in repeated or len(_SEPARATED.split(x)) > 2 for h, x in zip(hs, lines)), True]
+                for j, h in enumerate(hs):
+                    if h in repeated:
+                        seen[h] += 1
+                        near[h] += mark[j] + mark[j + 2]
+            yield pd.DataFrame([(h, n, near[h]) for h, n in seen.items()], columns=["h", "seen", "near"])
 
-def decide(line: str, title: str) -> str:
+    return pages.select(F.col(text).alias("text")).mapInPandas(run, "h long, seen long, near long").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("near").alias("near"))
+
+
+def link_texts(pages: DataFrame, site: str, text: str) -> tuple[DataFrame, Labels]:
+    """(site, h) of each site's link texts, by hash, and the link texts that count on every page.
+
+    A site's own stand on SITE_SHARE of its pages, so it has at most 1 / SITE_SHARE times as many as lines and parts on its average
+    page. Everywhere count those of several sites, and lines that stand on COMMON of some site's pages and mostly beside
+    other repeated lines; both are bounded by shares as well. Shares are less three quarters of 1 / sqrt(pages).
+    """
+    pages = pages.filter(F.trim(text) != "")
+    size = pages.groupBy(F.coalesce(F.col(site), F.lit("")).alias("site")).agg(F.count(F.lit(1)).alias("pages"))
+    counts = cut(count_texts(pages, site, text).join(size, "site").withColumn("sure", F.col("n") / F.col("pages") - 0.75 / F.sqrt("pages")))
+    own = counts.filter(F.col("sure") >= SITE_SHARE).select("site", "h").distinct()
+    totals = size.agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("sites")).first()
+    shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(SITES, SITES_SHARE * totals.sites))
+    rep = counts.filter("whole").groupBy("h").agg(F.sum("n").alias("n"), F.max("sure").alias("sure")).filter(F.col("n") >= max(REPEATED, REPEATED_SHARE * (totals.pages or 0)))
+    rep = {r.h: r.sure for r in rep.collect()}
+    near = beside(pages, text, frozenset(rep)).filter(F.col("near") >= 2 * BESIDE * F.col("seen")).select("h").collect() if rep else []
+    return own, frozenset([r.h for r in shared.collect()] + [r.h for r in near if rep[r.h] >= COMMON])
+
+
+
+def link_density(line: str, labels: Labels) -> tuple[float, int]:
+    """Share of a line's separated parts that are link texts, and the number of parts; the whole line may be one."""
+    if text_key(line) in labels:
+        return 1.0, 1
+    parts = [p.strip() for p in _SEPARATED.split(line) if p.strip()]
+    return (sum(text_key(p) in labels for p in parts) / len(parts), len(parts)) if len(parts) > 1 else (0.0, len(parts))
+
+
+def menu(line: str, labels: Labels) -> bool:
+    """Whether a line's link density makes it a menu or a path: a path's last part is the page itself."""
+    density, n = link_density(line, labels)
+    if density and density * n >= min(n - 1, 0.5 * n):
+        return True
+    short = n >= 3 and all(len(p.split()) <= 4 for p in _SEPARATED.split(line))
+    return short and bool(re.search(r"[|·•»›>]|\s/\s", line)) and not re.search(r"\d{2}", line)
+
+
+def decide(line: str, title: str, labels: Labels) -> str:
     """Pass 1: the label of one line by itself."""
-    low = re.sub(r"\d+", "0", line.lower()).strip()
     if title and line.lower() == title:
         return GOOD
-    if low in LABELS or NOTICE.search(line) or menu(line):
+    if menu(line, labels) or COPYRIGHT.match(line):
         return BAD
     if BULLET.match(line) or (CUT.search(line) and not re.search(r"\.{4,}$", line)):
         return BAD
@@ -106,20 +173,22 @@ def named(line: str) -> bool:
     return bool(NAME.match(line)) and " " in line and not line.isupper()
 
 
-def furniture(text: str | None, title: str | None = None, site: str | None = None) -> list[int]:
-    """Numbers (from 0) of the non-blank lines of a page that are not main body."""
+def furniture(text: str | None, title: str | None = None, site: str | None = None, labels: Labels = frozenset()) -> list[int]:
+    """Numbers (from 0) of the non-blank lines of a page that are not main body; labels: the site's link texts."""
     if not text:
         return []
     lines = [(k, x.strip()) for k, x in enumerate(text.split("\n")) if x.strip()]
     head = (title or "").strip().lower()
-    marks = [decide(x, head) for _, x in lines]
+    marks = [decide(x, head, labels) for _, x in lines]
     n = len(lines)
-    # the page's own title: the last part of a path
+    # the page's own title: the last part of a path above the first running text
     if not head:
-        for _, x in lines[:12]:
-            parts = [p for p in re.split(r"\s*[›»>]\s*|\s+/\s+", x) if p.strip()]
-            if len(parts) >= 2 and parts[0].strip().lower() in LABELS and parts[-1].strip().lower() not in LABELS:
-                head = parts[-1].strip().lower()
+        for (_, x), mark in zip(lines, marks):
+            parts = [p.strip() for p in re.split(r"\s*[›»>]\s*|\s+/\s+", x) if p.strip()]
+            if len(parts) >= 2 and text_key(parts[0]) in labels and text_key(parts[-1]) not in labels:
+                head = parts[-1].lower()
+            if mark == GOOD:
+                break
     sites = {(site or "").lower()} | {m[1].strip().lower() for _, x in lines if (m := re.match(r"^\W*(?:©|copyright)\s*\d{4}\s+(.+?)(?:\s+[–-]\s+|\.|$)", x, re.I))}
     sites.discard("")
     first_text = next((i for i in range(n) if marks[i] == GOOD and lines[i][1].lower() != head), n)
@@ -179,48 +248,71 @@ def _run(run: list[str], before: str | None, after: str | None, top: bool) -> li
     return [GOOD] * tail + [BAD if after == BAD else GOOD] * (n - tail)
 
 
-def site_of(url: str | None) -> str | None:
+def site_of(host: str | None) -> str | None:
     """A site's name as its host spells it."""
-    m = re.match(r"^\w+://([^/:]+)", url or "")
-    return re.sub(r"\s+\d+$", "", m[1].rsplit(".", 1)[0].replace("-", " ")).lower() if m else None
+    return re.sub(r"\s+\d+$", "", host.rsplit(".", 1)[0].replace("-", " ")).lower() if host and "." in host else None
 
 
-def find_furniture(pages: DataFrame, key: str, text: str, title: str | None = None, url: str | None = None) -> DataFrame:
+def find_furniture(pages: DataFrame, key: list[str], text: str, title: str, site: str) -> DataFrame:
     """(key, line_no, line) of every non-blank line that is not main body, each once.
 
     Null, empty and blank texts give no rows; a page of one line is main body unless the line itself is decided;
-    pages delivered twice come out once; very long pages are read whole; other columns are not read. The work
-    is local to each page: no page meets another, so there is no shuffle but the one that drops repeated rows.
+    pages delivered twice come out once; pages without a site are one site; very long pages are read whole; an empty
+    table gives no rows; other columns are not read. Link texts are counted over all pages of a site; a page then meets
+    its site's list only, which is one row of bounded length, so a site with a third of all pages is no obstacle.
     """
-    none = F.lit(None).cast("string")
-    src = pages.select(F.col(key), F.col(text).alias("t"), (F.col(title) if title else none).alias("h"), (F.col(url) if url else none).alias("u")).filter(F.trim("t") != "")
+    src, shared = _with_labels(pages, key, text, title, site)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known(shared)
         for pdf in batches:
             rows = []
-            for k, t, h, u in zip(pdf[key], pdf["t"], pdf["h"], pdf["u"]):
+            for k, t, h, u, own in zip(zip(*[pdf[c] for c in key]), pdf["__t"], pdf["__h"], pdf["__u"], pdf["__own"]):
                 lines = t.split("\n")
-                rows += [(k, i, lines[i]) for i in furniture(t, h, site_of(u))]
-            yield pd.DataFrame(rows, columns=[key, "line_no", "line"]).astype({key: pdf[key].dtype, "line_no": "int64", "line": "object"})
+                rows += [(*k, i, lines[i]) for i in furniture(t, h, site_of(u), known(u, own))]
+            yield pd.DataFrame(rows, columns=[*key, "line_no", "line"]).astype({**{c: pdf[c].dtype for c in key}, "line_no": "int64", "line": "object"})
+
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in key)
+    return src.filter(F.trim("__t") != "").mapInPandas(run, f"{kinds}, line_no long, line string").distinct()
+
+
+def _with_labels(pages: DataFrame, key: list[str], text: str, title: str, site: str) -> tuple[DataFrame, Labels]:
+    src = pages.select(*key, F.col(text).alias("__t"), F.col(title).alias("__h"), F.col(site).alias("__u"))
+    texts, shared = link_texts(src, "__u", "__t")
+    own = texts.groupBy("site").agg(F.collect_list("h").alias("__own"))
+    return src.join(own, F.coalesce("__u", F.lit("")) == F.col("site"), "left"), shared
+
+
+class _Known:
+    """Link texts that a page of a site meets, made once for each site in a task."""
+
+    def __init__(self, shared: Labels):
+        self.shared, self.sites = shared, {}
 
-    kind = pages.schema[key].dataType.simpleString()
-    return src.mapInPandas(run, f"`{key}` {kind}, line_no long, line string").distinct()
+    def __call__(self, site: str | None, own) -> Labels:
+        if own is None:
+            return self.shared
+        if site not in self.sites:
+            if len(self.sites) >= 1_000:
+                self.sites.clear()
+            self.sites[site] = self.shared.union(own)
+        return self.sites[site]
 
 
-def main_body(pages: DataFrame, key: str, text: str, title: str | None = None, url: str | None = None, out: str = "body") -> DataFrame:
+def main_body(pages: DataFrame, key: list[str], text: str, title: str, site: str, out: str = "body") -> DataFrame:
     """(key, body): each page's text without its furniture; null stays null, a page of furniture only becomes empty."""
-    none = F.lit(None).cast("string")
-    src = pages.select(F.col(key), F.col(text).alias("t"), (F.col(title) if title else none).alias("h"), (F.col(url) if url else none).alias("u"))
+    src, shared = _with_labels(pages, key, text, title, site)
 
-    def body(t: str | None, h: str | None, u: str | None) -> str | None:
+    def body(known: _Known, t: str | None, h: str | None, u: str | None, own) -> str | None:
         if t is None:
             return None
-        drop = set(furniture(t, h, site_of(u)))
+        drop = set(furniture(t, h, site_of(u), known(u, own)))
         return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop).strip("\n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known(shared)
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], out: [body(*x) for x in zip(pdf["t"], pdf["h"], pdf["u"])]})
+            yield pd.DataFrame({**{c: pdf[c] for c in key}, out: [body(known, *x) for x in zip(pdf["__t"], pdf["__h"], pdf["__u"], pdf["__own"])]})
 
-    kind = pages.schema[key].dataType.simpleString()
-    return src.mapInPandas(run, f"`{key}` {kind}, `{out}` string").distinct()
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in key)
+    return src.mapInPandas(run, f"{kinds}, `{out}` string").distinct()

@@ -24,18 +24,32 @@ Questo sito usa cookie tecnici.
 © 2020 Roll Valli – Tutti i diritti riservati"""
 
 
+LABELS = B.label_keys("Salta al contenuto", "Roll Valli", "Home", "Persone", "Chi siamo", "Condividi su", "Leggi anche", "Questo sito usa cookie tecnici.", "© 0 Roll Valli – Tutti i diritti riservati")
+
+
 def test_furniture():
-    assert B.furniture(PAGE, "Mario Rossetti", "roll valli") == [0, 1, 2, 3, 12, 13, 14, 16, 17, 18, 19]
+    assert B.furniture(PAGE, "Mario Rossetti", "roll valli", LABELS) == [0, 1, 2, 3, 12, 13, 14, 16, 17, 18, 19]
+    assert B.furniture(PAGE, None, None, LABELS) == [0, 1, 2, 3, 12, 13, 14, 16, 17, 18, 19]  # the title from the path
     assert B.furniture(None) == B.furniture("") == B.furniture("  \n ") == [] and B.furniture("Solo una riga") == []
+    long_menu = "\n".join([*["Home"] * 30, "Home › Persone › Ugo Neri", "Ugo Neri", "Ugo fu visto presso il mulino e non fece ritorno."])
+    assert B.furniture(long_menu, None, None, LABELS) == [*range(31)]
 
 
 def test_find_furniture_and_body(spark):
-    df = spark.createDataFrame([(1, PAGE, "Mario Rossetti", 9), (1, PAGE, "Mario Rossetti", 9), (2, None, None, 1), (3, "", "x", 1), (4, "Home\n" + "parola " * 20_000 + ".", None, 2)], "k long, t string, h string, line_no int")
-    rows = B.find_furniture(df, "k", "t", "h").collect()
-    assert len(rows) == 12 and {r.k for r in rows} == {1, 4}
-    body = {r.k: r.body for r in B.main_body(df, "k", "t", "h").collect()}
+    other = "Salta al contenuto\nRoll Valli\nHome · Persone · Chi siamo\nHome › Persone › Nome {0}\nNome {0}\nIl testimone numero {0} precisa che la colonna fosse diretta al monte.\nCondividi su\nLeggi anche\nQuesto sito usa cookie tecnici.\n© 2020 Roll Valli – Tutti i diritti riservati"
+    words = [f"{a}{b}a" for a in "bcdfg" for b in "eiou"]
+    rows = [(1, PAGE, "Mario Rossetti", "x", 9), (1, PAGE, "Mario Rossetti", "x", 9), (2, None, None, "x", 1), (3, "", "x", None, 1), (4, "Home\n" + "parola " * 20_000 + ".", None, "x", 2)]
+    rows += [(10 + k, other.format(w), f"Nome {w}", "x", 0) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "k long, t string, h string, u string, line_no int")
+    got = B.find_furniture(df, ["k"], "t", "h", "u")
+    lines = {}
+    for r in got.collect():
+        lines.setdefault(r.k, []).append(r.line_no)
+    assert sorted(lines[1]) == [0, 1, 2, 3, 12, 13, 14, 16, 17, 18, 19] and lines[4] == [0] and set(lines) == {1, 4, *range(10, 30)}
+    assert all(sorted(lines[k]) == [0, 1, 2, 3, 6, 7, 8, 9] for k in range(10, 30)) and got.count() == sum(map(len, lines.values()))
+    body = {r.k: r.body for r in B.main_body(df, ["k"], "t", "h", "u").collect()}
     assert body[1].startswith("Mario Rossetti\nIl testimone") and body[2] is None and body[3] == ""
-    assert B.find_furniture(df.limit(0), "k", "t").count() == 0
+    assert B.find_furniture(df.limit(0), ["k"], "t", "h", "u").count() == 0
 
 
 def test_residue_fields_and_marks():
