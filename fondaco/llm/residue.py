@@ -3,8 +3,9 @@
 Labelled exemplars of residue stand in an inverted index (a bounded list, sent to the executors). Every document is cut
 in passage windows; a window's tokens retrieve exemplars, and the window is residue when the share of its TF-IDF weight
 that retrieved exemplars cover reaches a threshold. A document is excluded when its residue windows make up most
-of its content, headings, menu lines and record numbers set aside; or when a window retrieves an exemplar of an unfilled
-template field and the exact form of a field is found in that window.
+of its content, headings, menu lines and record numbers set aside; or when a window contains an exemplar of an unfilled
+template field: there the containment is the exemplar's, the share of its weight (runs of two and three tokens, marks and
+names in their order) that the window has. An exemplar's name may be open (any name counts), where only the marks tell.
 
 Token weights are idf over all windows of the corpus, counted exactly for the exemplars' vocabulary in a first
 pass (partial counts per partition, summed); a token no exemplar has weighs as the middle one of them, so
@@ -111,21 +112,39 @@ STRONG = ["{{ x }}", "{{ record.x }}", "{% if x %}", "{0:x}", "${x}", "[[x]]", "
 #: Forms that only a known field's name makes a field: marks of editors look alike.
 WEAK = ["{x}", "<x>", "[x]", "%x%", "$x$", "#x#", "&lt;x&gt;"]
 
-_NAME = r"[^\W\d_][\w.]*"
-_KNOWN = "(?:" + "|".join(sorted({re.escape(n) for n in FIELD_NAMES}, key=len, reverse=True)) + ")"
+#: Share of a field exemplar's weight that a window must hold.
+FIELD_CONTAINED = 0.8
+#: An open name in an exemplar.
+ANY = "*"
+#: Tokens around fields: marks, and names with the dots and underscores inside them.
+FIELD_TOKEN = re.compile(r"\{\{|\}\}|\{%|%\}|\$\{|<%=|%>|\[\[|\]\]|\(\(|\)\)|@@|__+|&lt;|&gt;|«campo(?=_)|»|\bx{3,}(?=_)|[\[\]{}<>%$#:]|[^\W\d_](?:[^\W_]|[._](?=[^\W_]))*|\d+|[^\w\s]")
+_MARK = re.compile(r"[{}\[\]<>%$#@«]|__|\(\(|&lt;|\bx{3,}_|\btodo\b", re.I)
 
 
 def _split(form: str) -> list[str]:
     return re.split(r"\bx\b|(?<=_)x(?=_|»|$)", form)
 
 
-def _form(form: str, name: str) -> str:
-    """The pattern of a field's form around a name."""
-    before, after = (re.sub(r"(?:\\ )+", r"\\s+", re.escape(p.strip())) for p in _split(form))
-    return rf"{before}\s*{name}\s*{after}"
+def field_runs(found: list[str], opened: bool = False) -> list[tuple[str, ...]]:
+    """Runs of two and three tokens; with ``opened`` also those in which names stand as open ones."""
+    out = []
+    for n in (2, 3):
+        for k in range(len(found) - n + 1):
+            run = tuple(found[k : k + n])
+            out.append(run)
+            if opened:
+                out += [(*run[:i], ANY, *run[i + 1 :]) for i, t in enumerate(run) if t[0].isalpha()]
+    return out
+
+
+def field_exemplars() -> list[tuple[str, ...]]:
+    """Tokens of every field exemplar: strong forms with an open name, the others with each known name."""
+    closed = ("TODO x", "__x__")
+    forms = [(f, [ANY]) for f in STRONG if f not in closed] + [(f, FIELD_NAMES) for f in WEAK] + [(f, FIELD_NAMES) for f in closed]
+    word = "slotname"
+    return list(dict.fromkeys(tuple(n if t == word else t for t in FIELD_TOKEN.findall(word.join(_split(f)).lower())) for f, names in forms for n in names))
 
 
-FIELD = re.compile("|".join([*(_form(f, _NAME) for f in STRONG if f not in ("TODO x", "XXXX_x", "__x__")), *(_form(f, _KNOWN) for f in WEAK), rf"(?<![^\W_])__{_KNOWN}__", rf"\bTODO[\s_:]+{_KNOWN}\b", rf"\bX{{3,}}_{_NAME}"]), re.I)
 TOKEN = re.compile(r"\{\{|\}\}|\{%|%\}|\$\{|<%=|%>|\[\[|\]\]|\(\(|\)\)|@@|__+|&lt;|&gt;|«campo|\bx{4,}(?=_)|[\[\]{}<>%$#]|[^\W_]+")
 MENU = re.compile(r"\S\s*(?:[|·•»›]|\s/)\s*\S.*(?:[|·•»›]|\s/)\s*\S")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
@@ -162,15 +181,13 @@ def exemplars() -> list[tuple[str, str]]:
     """(label, text): the labelled residue that is looked for."""
     said = [(label, line.strip()) for label, block in MESSAGES.items() for line in block.strip().split("\n")]
     alone = [(label, s) for label, line in said for s in re.split(r"(?<=[.!?…])\s+", line)]
-    # fields: every form, once with each name
-    fields = [("template", n.join(_split(f))) for f in STRONG + WEAK for n in FIELD_NAMES]
-    return list(dict.fromkeys(said + alone + fields))
+    return list(dict.fromkeys(said + alone))
 
 
 class Residue:
     """The inverted index over exemplars with corpus weights."""
 
-    def __init__(self, listed: list[tuple[str, str]], df: dict[str, int], n_windows: int):
+    def __init__(self, listed: list[tuple[str, str]], df: dict[str, int], n_windows: int, fields: list[tuple[str, ...]] | None = None):
         self.sets = [(label, frozenset(tokens(text))) for label, text in listed]
         vocab = {t for _, s in self.sets for t in s}
         n = max(n_windows, 1)
@@ -181,27 +198,42 @@ class Residue:
         for k, (_, s) in enumerate(self.sets):
             for t in s:
                 self.index.setdefault(t, []).append(k)
-        self.spoken = {t for label, s in self.sets if label != "template" for t in s}
-        self.marks = {t for label, s in self.sets if label == "template" for t in s if not t.isalnum() or t == "todo" or t.startswith("xxxx")}
+        # fields: runs of tokens, weighed by their tokens; those with a mark retrieve
+        self.fields = [frozenset(field_runs(list(f))) for f in (field_exemplars() if fields is None else fields)]
+        weigh = lambda run: sum(math.log(1 + n / (1 + df.get(t, 0))) if t != ANY else self.other for t in run)
+        self.run_weight = {run: weigh(run) for f in self.fields for run in f}
+        self.field_weight = [sum(self.run_weight[run] for run in f) for f in self.fields]
+        self.field_index: dict[tuple[str, ...], list[int]] = {}
+        for k, f in enumerate(self.fields):
+            for run in f:
+                self.field_index.setdefault(run, []).append(k)
+        self.longest = max((len(f) for f in self.fields), default=0)
+
+    def field(self, text: str) -> float:
+        """The greatest containment of a field exemplar in a passage."""
+        if not _MARK.search(text):
+            return 0.0
+        share: Counter = Counter()
+        for run in set(field_runs(FIELD_TOKEN.findall(text.lower()), opened=True)):
+            for k in self.field_index.get(run, ()):
+                share[k] += self.run_weight[run]
+        return max((v / self.field_weight[k] for k, v in share.items()), default=0.0)
 
     def window(self, text: str) -> tuple[str, float]:
         """(label, containment) of the best reading of a window; label '' if nothing is retrieved."""
         w = set(tokens(text))
         if not w:
             return "", 0.0
-        if w & self.marks and FIELD.search(text):  # an exemplar of a field is retrieved by its marks; then its exact form
-            return "template", 1.0
         if not any(t.isalpha() for t in w):
             return "", 0.0
-        known = [t for t in w if t in self.spoken]  # marks around fields count only where a field stands
+        known = [t for t in w if t in self.index]
         whole = sum(self.idf.get(t, self.other) for t in w)
         if not known or sum(self.idf[t] for t in known) < CONTAINMENT * whole:
             return "", 0.0  # even all exemplars together can't cover enough
         share: dict[int, float] = Counter()
         for t in known:
             for k in self.index[t]:
-                if self.sets[k][0] != "template":
-                    share[k] += self.idf[t]
+                share[k] += self.idf[t]
         best = max(share, key=lambda k: (share[k], -k))
         # exemplars that stand wholly in the window cover it together (several notices in one passage)
         joint = set().union(*(self.sets[k][1] for k in share if share[k] >= 0.8 * self.weight[k]), self.sets[best][1])
@@ -213,10 +245,15 @@ class Residue:
         if text is None or not text.strip():
             return "", 0.0
         hit, others, first = 0, [], Counter()
+        if _MARK.search(text):
+            for line in text.split("\n"):
+                words = line.split() if _MARK.search(line) else []
+                for k in range(0, len(words), WINDOW):  # windows overlap by the longest exemplar
+                    contained = self.field(" ".join(words[k : k + WINDOW + self.longest]))
+                    if contained >= FIELD_CONTAINED:
+                        return "template", contained
         for passage, line in windows(text):
             label, covered = self.window(passage)
-            if label == "template":
-                return "template", 1.0
             if label and covered >= CONTAINMENT:
                 hit += len(passage)
                 first[label] += len(passage)
@@ -236,7 +273,8 @@ def find_residue(docs: DataFrame, key: str, text: str, listed: list[tuple[str, s
     listed = exemplars() if listed is None else listed
     if len(listed) > MAX_EXEMPLARS:
         raise ValueError(f"more than {MAX_EXEMPLARS} exemplars")
-    vocab = {t for _, x in listed for t in tokens(x)}
+    marks = {t for f in field_exemplars() for t in f if t != ANY}
+    vocab = {t for _, x in listed for t in tokens(x)} | marks
     src = docs.select(F.col(key), F.col(text).alias("__text")).filter(F.trim("__text") != "")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +283,8 @@ def find_residue(docs: DataFrame, key: str, text: str, listed: list[tuple[str, s
             for t in pdf["__text"]:
                 for passage, _ in windows(t):
                     df[""] += 1
-                    df.update(set(tokens(passage)) & vocab)
+                    seen = set(tokens(passage))
+                    df.update((seen.union(FIELD_TOKEN.findall(passage.lower())) if _MARK.search(passage) else seen) & vocab)
         yield pd.DataFrame(list(df.items()), columns=["token", "n"])
 
     counts = {r.token: r.n for r in src.select("__text").mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}  # at most the exemplars' vocabulary
