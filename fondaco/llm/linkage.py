@@ -76,29 +76,38 @@ def _grams(c: str) -> Column:
     return F.array_distinct(F.concat(part(2), part(3)))
 
 
-def similar_forms(forms: DataFrame, threshold: float = COSINE, top_n: int | None = None) -> DataFrame:
-    """(a, b, cosine) of distinct forms whose vectors reach the threshold.
-
-    forms: form (unique), block (only forms of one block meet), role, word. Forms of role 'l' meet forms of role 'r'; forms of
-    role 'lr' also meet each other, once (a < b).
-    """
-    grams = forms.select("form", "block", "role", F.explode(_grams("word")).alias("g"))
+def gram_vectors(forms: DataFrame) -> DataFrame:
+    """(form, g, w, rest) of forms (form, word): unit TF-IDF weights of the word's n-grams; rest is the squared weight of a gram and all
+    more frequent ones, by which :func:`similar_forms` cuts the postings."""
+    grams = forms.select("form", F.explode(_grams("word")).alias("g"))
     total = forms.agg(F.count(F.lit(1)).alias("total"))
     df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     # idf is smoothed, so that a gram made by a slip doesn't outweigh all others
-    w = grams.join(df, "g").join(F.broadcast(total)).select("form", "block", "role", "g", "df", F.log(1 + F.col("total") / (F.col("df") + 5)).alias("w"))
-    norm = Window.partitionBy("form")
+    w = grams.join(df, "g").join(F.broadcast(total)).select("form", "g", "df", F.log(1 + F.col("total") / (F.col("df") + 5)).alias("w"))
+    norm = Window.partitionBy("form")  # as long as a word
     order = norm.orderBy(F.desc("df"), F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order))
-    w = cut(w)
-    posted = w.filter(F.col("rest") >= threshold * threshold).select("form", "block", "role", "g")
-    left = posted.filter(F.col("role").contains("l")).select(F.col("form").alias("a"), F.col("role").alias("ra"), "block", "g")
-    right = posted.filter(F.col("role").contains("r")).select(F.col("form").alias("b"), F.col("role").alias("rb"), "block", "g")
-    pairs = left.join(right, ["block", "g"]).filter("(ra = 'lr' AND rb = 'lr' AND a < b) OR (ra <> rb AND a <> b)").select("a", "b").distinct()
-    vec = w.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))  # as long as one word
+    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
+    return w.select("form", "g", "w", F.sum(F.col("w") * F.col("w")).over(order).alias("rest"))
+
+
+def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) of forms with the cosine of their vectors."""
+    vec = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))  # as long as one word
     both = pairs.join(vec.select(F.col("form").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("form").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("vb", e["key"]), F.lit(0.0)))
-    out = both.select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= threshold)
+    return both.withColumn("cosine", dot).drop("va", "vb")
+
+
+def similar_forms(vectors: DataFrame, blocks: DataFrame, threshold: float = COSINE, top_n: int | None = None) -> DataFrame:
+    """(a, b, cosine), a < b, of forms of one block whose vectors reach the threshold.
+
+    vectors: of :func:`gram_vectors`; blocks: (form, block, size), a form in any number of blocks; size is the word's length, and words
+    meet only while their lengths differ by 2 at most. With ``top_n`` a pair must be among the best of either form.
+    """
+    posted = vectors.filter(F.col("rest") >= threshold * threshold).select("form", "g").join(blocks, "form")
+    side = lambda f, n: posted.select(F.col("form").alias(f), F.col("size").alias(n), "block", "g")
+    pairs = side("a", "na").join(side("b", "nb"), ["block", "g"]).filter("a < b AND abs(na - nb) <= 2").select("a", "b").distinct()
+    out = with_cosine(pairs, vectors).filter(F.col("cosine") >= threshold)
     if top_n:
         rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("cosine"), "a", "b"))
         out = out.withColumn("ra", rank("a")).withColumn("rb", rank("b")).filter((F.col("ra") <= top_n) | (F.col("rb") <= top_n)).drop("ra", "rb")
@@ -106,17 +115,32 @@ def similar_forms(forms: DataFrame, threshold: float = COSINE, top_n: int | None
 
 
 def edit_pairs(forms: DataFrame) -> DataFrame:
-    """(a, b) of distinct forms that may be one edit apart, a swap of neighbours as one; no such pair is missing.
+    """(a, b) of distinct forms whose words are exactly one edit apart, a swap of neighbours as one; all of them and no others.
 
-    Words one edit apart have a word in common when each may lose a letter. Unlike a cosine, that doesn't depend on the
-    vocabulary. forms and roles as in :func:`similar_forms`.
+    Each kind of edit has its own key: the word without its i-th character and the place i (one put for another), the word with two
+    unequal neighbours in order and their place (a swap), and the word without a character against the whole one (one left out). Unlike a
+    cosine, that doesn't depend on the vocabulary, and a key's words are all results.
+    forms: form (unique), block (only forms of one block meet), role, word. Forms of role 'l' meet forms of role 'r'; forms of
+    role 'lr' also meet each other, once (a < b).
     """
     n = F.length("word")
-    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1)))
-    keys = forms.filter(n > 0).select("form", "block", "role", F.explode(F.array_distinct(F.concat(F.array("word"), less))).alias("k"))
-    left = keys.filter(F.col("role").contains("l")).select(F.col("form").alias("a"), F.col("role").alias("ra"), "block", "k")
-    right = keys.filter(F.col("role").contains("r")).select(F.col("form").alias("b"), F.col("role").alias("rb"), "block", "k")
-    return left.join(right, ["block", "k"]).filter("(ra = 'lr' AND rb = 'lr' AND a < b) OR (ra <> rb AND a <> b)").select("a", "b").distinct()
+    at = F.sequence(F.lit(1), n)
+    char = lambda i: F.substr("word", i, F.lit(1))
+    less = lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1))
+    key = lambda kind, i, text, own: F.struct(F.lit(kind).alias("kind"), i.alias("at"), text.alias("text"), own.alias("own"))
+    no = F.lit(0)
+    put = F.transform(at, lambda i: key("put", i, less(i), char(i)))
+    order = lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.least(char(i), char(i + 1)), F.greatest(char(i), char(i + 1)), F.substr("word", i + 2))
+    turn = F.transform(F.filter(at, lambda i: (i < n) & (char(i) != char(i + 1))), lambda i: key("turn", i, order(i), char(i)))
+    drop = F.transform(F.array_distinct(F.transform(at, less)), lambda t: key("drop", no, t, F.lit("less")))
+    keys = forms.filter(n > 0).select("form", "block", "role", F.explode(F.concat(put, turn, drop, F.array(key("drop", no, F.col("word"), F.lit("whole"))))).alias("k")).select("form", "block", "role", "k.*")
+    on = ["block", "kind", "at", "text"]
+    left = keys.filter(F.col("role").contains("l")).select(F.col("form").alias("a"), F.col("role").alias("ra"), F.col("own").alias("oa"), *on)
+    right = keys.filter(F.col("role").contains("r")).select(F.col("form").alias("b"), F.col("role").alias("rb"), F.col("own").alias("ob"), *on)
+    # the same letter is the same word; two words that both lost a letter are two edits apart
+    met = left.join(right, on).filter("oa <> ob").filter("(ra = 'lr' AND rb = 'lr') OR (ra <> rb)")
+    lo, hi = F.when((F.col("ra") == "lr") & (F.col("rb") == "lr"), F.least("a", "b")).otherwise(F.col("a")), F.when((F.col("ra") == "lr") & (F.col("rb") == "lr"), F.greatest("a", "b")).otherwise(F.col("b"))
+    return met.select(lo.alias("a"), hi.alias("b")).filter("a <> b").distinct()
 
 
 def rare(a: str, b: str) -> Column:
@@ -135,7 +159,7 @@ def usual_spelling(words: DataFrame) -> DataFrame:
     e = edit_pairs(w)
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = e.join(w.select(F.col("form").alias("a"), F.col("word"), F.col("n").alias("na")), "a").join(w.select(F.col("form").alias("b"), F.col("word").alias("usual"), F.col("n").alias("nb")), "b")
-    e = e.filter(rare("na", "nb") & F.expr(f"nb >= {USUAL} AND nb >= 4 * na AND abs(length(word) - length(usual)) <= 1 AND length(word) >= 5")).withColumn("edits", swaps("word", "usual")).filter("edits = 1")
+    e = e.filter(rare("na", "nb") & F.expr(f"nb >= {USUAL} AND nb >= 4 * na AND length(word) >= 5"))
     e = cut(e.select("word", "usual"))
     while True:  # a usual spelling may itself be rare beside another; counts grow fourfold along a chain, so it ends
         one = e.groupBy("word").agg(F.min("usual").alias("usual"), F.max("usual").alias("other")).filter("usual = other").select("word", "usual")
@@ -173,19 +197,20 @@ def node_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, sim) of nodes a < b that similar forms and their dates, given names and places allow."""
     side = lambda p: nodes.select(*[F.col(c).alias(f"{p}_{c}") for c in ("node", "form", "given", "birth", "death", "place")], F.filter(F.array(F.when(F.col("birth") != "", F.concat(F.lit("b"), F.substring("birth", 1, 4))), F.when(F.col("death") != "", F.concat(F.lit("d"), F.col("death")))), lambda x: x.isNotNull()).alias(f"{p}_keys"))
     a, b = side("a"), side("b")
-    e = edges.select(F.col("a").alias("a_form"), F.col("b").alias("b_form"), "edits")
+    e = edges.select(F.col("a").alias("a_form"), F.col("b").alias("b_form"), "edits", "cosine")
     le = a.join(e, "a_form")
     keyed = le.withColumn("k", F.explode("a_keys")).join(b.withColumn("k", F.explode("b_keys")), ["b_form", "k"]).drop("k")
     open_a = le.filter("a_birth = ''").join(b, "b_form")
     open_b = le.filter("a_birth <> ''").join(b.filter("b_birth = ''"), "b_form")
-    cols = [f"{p}_{c}" for p in "ab" for c in ("node", "given", "birth", "death", "place")] + ["edits"]
+    cols = [f"{p}_{c}" for p in "ab" for c in ("node", "given", "birth", "death", "place")] + ["edits", "cosine"]
     p = keyed.select(*cols).unionByName(open_a.select(*cols)).unionByName(open_b.select(*cols))
     p = p.filter("a_node <> b_node").filter(agree(F.col("a_birth"), F.col("b_birth")) & agree(F.col("a_death"), F.col("b_death")))
     p = p.withColumn("g", _given_factor(F.col("a_given"), F.col("b_given"))).filter("g is not null")
     sure = ((F.length("a_birth") >= 4) & (F.length("b_birth") >= 4)) | ((F.length("a_death") >= 4) & (F.length("b_death") >= 4))
     where = F.when((F.col("a_place") == "") | (F.col("b_place") == ""), 0.0).when((F.col("a_place") == F.col("b_place")) | (F.levenshtein("a_place", "b_place") <= 2), 0.1).otherwise(-0.05)
     p = p.withColumn("sure", sure | (where > 0)).filter("edits <= 1 or sure")
-    sim = F.when(F.col("edits") == 0, 1.0).when(F.col("edits") == 1, 0.85).otherwise(0.7) * F.col("g") * (F.when(sure, 1.0).otherwise(0.85) + where)
+    # the cosine of half the angle, squared: 1 for one spelling
+    sim = (1 + F.col("cosine")) / 2 * F.col("g") * (F.when(sure, 1.0).otherwise(0.85) + where)
     lo, hi = F.least("a_node", "b_node"), F.greatest("a_node", "b_node")
     p = p.select(lo.alias("a"), hi.alias("b"), sim.alias("sim"), "sure", F.when(F.col("a_node") == lo, F.col("a_given")).otherwise(F.col("b_given")).alias("ga"), F.when(F.col("a_node") == lo, F.col("b_given")).otherwise(F.col("a_given")).alias("gb"))
     p = p.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("sure").alias("sure"), F.max("ga").alias("ga"), F.max("gb").alias("gb"))
@@ -253,15 +278,20 @@ def link_names(rows: DataFrame) -> DataFrame:
     # two surnames that are both usual are two surnames, however alike
     usual = forms.groupBy("surname").agg(F.sum("n").alias("usual"))
     named = forms.join(usual, "surname").select("form", "surname", "usual")
-    # one edit is found exactly; the cosine adds the partners two edits away
-    blocks = cut(forms.select("form", F.col("initial").alias("block"), F.lit("lr").alias("role"), F.col("surname").alias("word")))
-    e = similar_forms(blocks).select("a", "b").unionByName(edit_pairs(blocks)).distinct()
+    # spellings one edit apart are found exactly, wherever; the cosine join adds those two edits apart, which count only where a date or
+    # place confirms them, so they meet in blocks of a year or place
+    vectors = cut(gram_vectors(forms.select("form", F.col("surname").alias("word"))))
+    year = lambda c: F.when(F.col(c) != "", F.concat_ws("|", "initial", F.lit(c), F.substring(c, 1, 4)))
+    marks = F.array(year("birth"), year("death"), F.when(F.col("place") != "", F.concat_ws("|", "initial", F.lit("place"), F.substring("place", 1, 3))))
+    blocks = nodes.filter("initial <> ''").select("form", F.length("surname").alias("size"), F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("block")).filter("size >= 8").distinct()
+    one = with_cosine(edit_pairs(forms.select("form", F.col("initial").alias("block"), F.lit("lr").alias("role"), F.col("surname").alias("word"))), vectors)
+    two = similar_forms(vectors, blocks)
+    e = one.withColumn("edits", F.lit(1)).unionByName(two.withColumn("edits", F.lit(2))).groupBy("a", "b").agg(F.min("edits").alias("edits"), F.max("cosine").alias("cosine"))
     e = e.join(named.select(F.col("form").alias("a"), F.col("surname").alias("sa"), F.col("usual").alias("ua")), "a").join(named.select(F.col("form").alias("b"), F.col("surname").alias("sb"), F.col("usual").alias("ub")), "b")
-    e = e.filter(F.abs(F.length("sa") - F.length("sb")) <= 2).withColumn("edits", swaps("sa", "sb"))
-    e = e.filter((F.col("edits") <= 1) | ((F.col("edits") == 2) & (F.least(F.length("sa"), F.length("sb")) >= 8)))
-    e = e.filter(rare("ua", "ub")).select("a", "b", "edits")
-    same = forms.select(F.col("form").alias("a"), F.col("form").alias("b"), F.lit(0).alias("edits"))
-    pairs = node_pairs(nodes, cut(e.unionByName(same)))
+    e = e.filter(rare("ua", "ub")).filter((F.col("edits") == 1) | (swaps("sa", "sb") <= 2)).select("a", "b", "edits", "cosine")
+    same = forms.select(F.col("form").alias("a"), F.col("form").alias("b"), F.lit(0).alias("edits"), F.lit(1.0).alias("cosine"))
+    e = cut(e.unionByName(same))
+    pairs = node_pairs(nodes, e)
     clusters = average_linkage(nodes, pairs)
     return recs.select("key", "node").join(clusters, "node").select("key", "cluster")
 

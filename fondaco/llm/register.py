@@ -113,7 +113,7 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     usual = reg.select("surname").unionByName(doc.select("surname")).groupBy("surname").agg(F.count(F.lit(1)).alias("n"))
     near = edit_pairs(fl.unionByName(fr))
     near = near.join(fl.select(F.col("form").alias("a"), F.col("word").alias("sa")), "a").join(fr.select(F.col("form").alias("b"), F.col("word").alias("sb")), "b").filter("sa <> sb")
-    near = near.select("sa", "sb").distinct().filter(F.abs(F.length("sa") - F.length("sb")) <= 1).withColumn("edits", swaps("sa", "sb")).filter("edits <= 1")
+    near = near.select("sa", "sb").distinct()
     near = near.join(usual.select(F.col("surname").alias("sa"), F.col("n").alias("na")), "sa").join(usual.select(F.col("surname").alias("sb"), F.col("n").alias("nb")), "sb")
     near = cut(near.filter(rare("na", "nb")).select("sa", "sb"))
     # index

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, forget, spread
-from .linkage import edit_pairs, swaps
+from .linkage import edit_pairs
 
 # a numeral with digits, some read as letters; one read as letters throughout; a Roman one
 _NUMERAL = r"(?:(?=[lIiOoSsBzZ|]*[0-9])[0-9lIiOoSsBzZ|]{1,5}|[lIO|]{2,4}|(?=[ivxlcIVXLC])(?:[cC]{0,3}(?:[xX][cC]|[xX][lL]|[lL]?[xX]{0,3})(?:[iI][xX]|[iI][vV]|[vV]?[iI]{0,3})))"
@@ -280,7 +280,7 @@ def head_lines(records: DataFrame, pages: list[str] | None = None) -> DataFrame:
     forms = forms.unionByName(usual.select(F.xxhash64(F.lit("usual"), "k").alias("form"), F.lit("").alias("block"), F.lit("r").alias("role"), F.col("k").alias("word")))
     near = edit_pairs(forms)
     near = near.join(forms.select(F.col("form").alias("a"), F.col("word").alias("k")), "a").join(usual.select(F.xxhash64(F.lit("usual"), "k").alias("b"), F.col("k").alias("u"), (sure_share(F.col("e"), F.col("n"))).alias("share")), "b")
-    near = near.filter(swaps("k", "u") <= 1).groupBy("k").agg(F.max("share").alias("share"))
+    near = near.groupBy("k").agg(F.max("share").alias("share"))
     out = cut(exact.unionByName(left.join(near, "k").select("src", "rec_key", "line_no", "share")).groupBy("src", "rec_key", "line_no").agg(F.max("share").alias("share")))
     forget(*made, exact)
     return out
