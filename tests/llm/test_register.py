@@ -47,3 +47,44 @@ def test_an_undated_row_beside_namesakes(spark):
     docs = spark.createDataFrame([("d1", "Lapide di Mario Rossettini"), ("d2", "Lapide di Carlo Moncolinza"), ("d3", "Lapide di Mario Rossettini (1931 - 1944)")], "document_id string, title string")
     got = {(r.caduto_id, r.document_id) for r in match_titles(reg, docs, "caduto_id", "nome", "nascita", "morte", "document_id", "title").collect()}
     assert got == {(1, "d1"), (4, "d2"), (5, "d2"), (1, "d3"), (3, "d3")}
+
+
+def test_retrieval_keys_against_all_pairs(spark):
+    # a pair shares a key exactly if nothing contradicts, or if initial and both full dates agree
+    import itertools
+    import random
+
+    from fondaco.llm import register as R
+
+    rnd = random.Random(7)
+    dates = ["", "1920", "1920-05", "1920-05-03", "1921-01-01"]
+    deaths = ["", "1944", "1944-06-01", "1945"]
+    rows = [(i, rnd.choice(["m", "c", "m"]), rnd.choice(["rossetti", "bianchini"]), rnd.choice(["mario", "marco", "", "mar*", "~enico"]), rnd.choice(dates), rnd.choice(deaths)) for i in range(60)]
+    df = spark.createDataFrame([(*r, True) for r in rows], "key long, initial string, surname string, given string, birth string, death string, own boolean")
+    t, r = R._keys(df, True).selectExpr("key AS a", "k"), R._keys(df, False).selectExpr("key AS b", "k")
+    got = {(x.a, x.b) for x in t.join(r, "k").select("a", "b").distinct().collect()}
+    loose = lambda g: g == "" or "*" in g or "~" in g
+
+    def meets(x, y):
+        _, ia, sa, ga, ba, da = x
+        _, ib, sb, gb, bb, db = y
+        if ia == ib and len(ba) == len(da) == 10 and (ba, da) == (bb, db):
+            return True
+        if (ia, sa) != (ib, sb):
+            return False
+        if ba and bb:
+            return ba[:4] == bb[:4]
+        if da and db:
+            return da[:4] == db[:4]
+        return loose(ga) or loose(gb) or ga == gb
+
+    assert got == {(x[0], y[0]) for x, y in itertools.product(rows, rows) if meets(x, y)}
+
+
+def test_rows_keep_titles_that_agree_with_their_nearest(spark):
+    from fondaco.llm import register as R
+
+    reg = spark.createDataFrame([(1, "Rossetti M.", None, None)] + [(k, f"Altro Nome{'abcdefghij'[k % 10]}lli", "1900", None) for k in range(10, 20)], "id long, nome string, nascita string, morte string")
+    doc = spark.createDataFrame([("a", "Lapide di Mario Rossetti, nato il 3 maggio 1920"), ("b", "Lapide di Mario Rossetti, nato il 3 maggio 1920"), ("c", "Lapide di Rossetti M."), ("d", None), ("e", "")], "doc string, titolo string")
+    got = {(r.id, r.doc) for r in R.match_titles(reg, doc, "id", "nome", "nascita", "morte", "doc", "titolo").collect()}
+    assert (1, "a") in got and (1, "b") in got and all(x[0] == 1 for x in got)
