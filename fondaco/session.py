@@ -62,11 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows as a table in the shared checkpoint folder, read again.
 
     A table rather than ``checkpoint()``, as that carries the old plan's size estimates and constraints on, which grow
-    without end in a loop; the table's are those of its files. It outlives lost executors, and :func:`forget` deletes it.
+    without end in a loop; the table's are those of its files. It outlives lost executors. :func:`forget` deletes it, and what no one
+    has forgotten is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._fondaco_path = path
     return out
