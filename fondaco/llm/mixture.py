@@ -8,14 +8,18 @@
    repeats the order, and the last pass ends where the source's tokens are reached.
 4. Pfair: the total is cut in equal slots. Block j (from 1) of a source with weight w is released at slot
    floor((j-1)/w) and due by slot ceil(j/w); of the released blocks the earliest deadline goes first. So after every slot
-   each source has its due share to less than one block. The schedule has at most ``slots`` entries whatever the
-   corpus, so it is made on the driver exactly, with rational weights.
+   each source has its due share to less than one block. The schedule repeats after a period in which every weight has a whole number
+   of blocks, so only one period is made (on the driver, with rational weights), and a block's slot is found by its number in
+   the period. A slot's length doesn't grow with the corpus. Weights without a common period of at most PERIOD slots are
+   rounded to one; as a source's tokens are spread over its own blocks alike, its share stays exact and only the order is.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +27,8 @@ from pyspark.sql.window import Window
 
 from ..session import cut
 
-#: Slots of a schedule at most, and the tokens of a slot at least.
-SLOTS, SLOT_TOKENS = 20_000, 2_048
+#: Slots of a period at most, and the tokens of a slot at least.
+PERIOD, SLOT_TOKENS = 20_000, 2_048
 #: Documents in a bucket of a source's order, about.
 BUCKET_DOCS = 50_000
 
@@ -59,6 +63,20 @@ def plan(supply: list[tuple[str, float, int, int]], total: int | None = None) ->
     return total, {s: (w / whole, round(w / whole * total)) for s, (w, _, _) in have.items()}
 
 
+def period(weights: dict[str, Fraction], most: int = PERIOD) -> tuple[int, dict[str, Fraction]]:
+    """(slots of a period, weights with whole blocks in it); weights without one of at most ``most`` slots are rounded, none to nothing."""
+    exact = lcm(*(w.denominator for w in weights.values())) if weights else 1
+    if exact <= most:
+        return exact, weights
+    blocks = {s: max(1, int(w * most)) for s, w in weights.items()}
+    by_rest = sorted(weights, key=lambda s: (int(weights[s] * most) - weights[s] * most, s))
+    for s in by_rest * (1 + len(weights)):
+        if sum(blocks.values()) == most:
+            break
+        blocks[s] += 1 if sum(blocks.values()) < most else -1 if blocks[s] > 1 else 0
+    return most, {s: Fraction(n, most) for s, n in blocks.items()}
+
+
 class Mixture:
     """``mixed``: one row per copy of a document in the mixture; ``shares``: the report per source."""
 
@@ -78,20 +96,25 @@ class Mixture:
         self.total, wanted = plan([(r.source, r.target_share, r.max_repeats, r.at_hand) for r in goals], total)
         # a slot holds the longest document, so that an undivided document doesn't upset the shares by more than a slot
         least = max([SLOT_TOKENS, *(r.longest or 0 for r in goals)])
-        n = max(1, min(SLOTS, self.total // least)) if self.total else 0
+        n = max(1, self.total // least) if self.total else 0
         self.slot_tokens = -(-self.total // n) if n else 1
-        order = pfair({s: w for s, (w, _) in wanted.items()}, n)
+        self.period, weights = period({s: w for s, (w, _) in wanted.items()})
+        order = pfair(weights, min(n, self.period)) if n else []
         seen: dict[str, int] = {}
         slots = []
         for t, s in enumerate(order):
             slots.append((s, seen.get(s, 0), t))
             seen[s] = seen.get(s, 0) + 1
         self.slots = spark.createDataFrame(slots, "source string, block long, slot long")
+        # blocks of a source in all n slots: whole periods and the beginning of one
+        rest = Counter(order[: n % self.period])
+        per = {s: int(w * self.period) for s, w in weights.items()}
+        blocks = {s: n // self.period * per[s] + rest[s] for s in per}
         rows = [
-            (r.source, float(r.target_share or 0), int(r.max_repeats or 0), int(r.at_hand or 0), int(r.docs or 0), wanted.get(r.source, (0, 0))[1], float(wanted.get(r.source, (0, 0))[0]), max(1, seen.get(r.source, 0)))
+            (r.source, float(r.target_share or 0), int(r.max_repeats or 0), int(r.at_hand or 0), int(r.docs or 0), wanted.get(r.source, (0, 0))[1], float(wanted.get(r.source, (0, 0))[0]), max(1, blocks.get(r.source, 0)), max(1, per.get(r.source, 1)))
             for r in goals
         ]
-        self.goals = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, at_hand long, docs long, wanted long, weight double, blocks long")
+        self.goals = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, at_hand long, docs long, wanted long, weight double, blocks long, per_period long")
         self.mixed = self._mix(sizes)
 
     def _mix(self, sizes: DataFrame) -> DataFrame:
@@ -114,7 +137,10 @@ class Mixture:
         d = d.filter(F.col("start") + F.col("n_tokens") / 2 <= F.col("wanted"))
         # a source's tokens over its own blocks, so each block is filled alike
         d = d.withColumn("block", F.least(F.floor(F.col("start") * F.col("blocks") / F.col("wanted")), F.col("blocks") - 1))
-        return d.join(F.broadcast(self.slots), ["source", "block"]).select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", "block", "slot", F.col("start").alias("source_offset"))
+        d = d.withColumn("at", F.col("block") % F.col("per_period"))
+        slots = F.broadcast(self.slots.withColumnRenamed("block", "at").withColumnRenamed("slot", "slot_at"))  # one period
+        d = d.join(slots, ["source", "at"]).withColumn("slot", F.col("slot_at") + F.floor(F.col("block") / F.col("per_period")) * self.period)
+        return d.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", "block", "slot", F.col("start").alias("source_offset"))
 
     @property
     def shares(self) -> DataFrame:

@@ -8,6 +8,7 @@ shard answers for itself, and the winners of all shards are merged.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Longest reference list that is broadcast as one tree; beyond it the list is sharded.
 TREE_ROWS = 20_000
@@ -198,10 +199,19 @@ class PlaceIndex:
             if core:
                 self.by_core.setdefault(core, set()).add((eid, kind, (code or "").lower(), (name or "").lower()))
         self.tree = BKTree(sorted(self.by_core))
+        self._found: dict[tuple, tuple[int, list[str]] | None] = {}
 
     def best(self, value: str) -> tuple[int, list[str]] | None:
         """The lowest rank of any entry within the threshold and the ids that have it (sorted)."""
         forms, code, name = place_forms(value)
+        reading = (*forms, code, name)  # spellings of one reading are searched once
+        if reading not in self._found:
+            if len(self._found) >= 100_000:
+                self._found.clear()
+            self._found[reading] = self._best(forms, code, name)
+        return self._found[reading]
+
+    def _best(self, forms: list[tuple[str, str]], code: str, name: str) -> tuple[int, list[str]] | None:
         found: dict[int, set[str]] = {}
         for kind, core in forms:
             hits = [(0, core)] if core in self.by_core else []
@@ -227,7 +237,9 @@ def edits(core: str) -> int:
     return 0 if len(core) < 5 else 1 if len(core) < 16 else 2
 
 
-_SCHEMA = "value string, rank int, ids array<string>"
+_SCHEMA = "value string, rank int, ties long, first string"
+#: Values of a group that meets one shard, about.
+GROUP_VALUES = 100_000
 
 
 def map_values(values: DataFrame, entries: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -238,8 +250,9 @@ def map_values(values: DataFrame, entries: DataFrame, tree_rows: int = TREE_ROWS
     rank leave the value undecided. Null and blank values get no row; repeated values one row; an empty list leaves
     every value unmatched; very long values have no entry near them and are cheap, as their length prunes the tree.
 
-    The list is sent to the executors only while it has at most ``tree_rows`` labels; a longer one is split in shards
-    of that size, values meet every shard in a cogroup by (shard, bucket), and the shards' winners are merged.
+    The list is sent to the executors only while it has at most ``tree_rows`` labels. A longer one is cut in shards of that size; each
+    shard's tree is built once and kept as a serialised row, groups of about GROUP_VALUES values meet every shard, and the
+    shards' winners are merged. Both ways give the same rows.
     """
     vals = values.select("value").filter(F.trim("value") != "").distinct()
     ents = entries.select("entry_id", "label", "code", "province").filter(F.trim("label") != "")
@@ -254,28 +267,34 @@ def map_values(values: DataFrame, entries: DataFrame, tree_rows: int = TREE_ROWS
 
         best = spread(vals, "value").mapInPandas(look, _SCHEMA)
     else:
-        shards, buckets = -(-n // tree_rows), 4 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # whole cores stay in one shard or not, as the hash falls: winners of all shards are merged below
-        left = vals.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = ents.withColumn("shard", F.pmod(F.xxhash64("entry_id"), F.lit(shards)).cast("int")).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+        vals = cut(vals)
+        shards, groups = -(-n // tree_rows), max(1, -(-vals.count() // GROUP_VALUES))
+
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            index = PlaceIndex(pdf[["entry_id", "label", "code", "province"]].itertuples(index=False, name=None))
+            return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps((index.by_core, index.tree.root))]})
+
+        # all labels of an entry are in one shard
+        trees = cut(ents.withColumn("shard", F.pmod(F.xxhash64("entry_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, tree binary"))
+        left = vals.withColumn("g", F.pmod(F.xxhash64("value"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        right = trees.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
         def both(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            return _answers(PlaceIndex(r[["entry_id", "label", "code", "province"]].itertuples(index=False, name=None)), l["value"])
+            index = PlaceIndex(())
+            if len(r):
+                index.by_core, index.tree.root = pickle.loads(r["tree"].iloc[0])
+            return _answers(index, l["value"])
 
-        won = left.groupBy("shard", "bucket").cogroup(right.groupBy("shard", "bucket")).applyInPandas(both, _SCHEMA)
-        # at most `shards` rows of a value, each with the ids of its lowest rank
+        won = left.groupBy("shard", "g").cogroup(right.groupBy("shard", "g")).applyInPandas(both, _SCHEMA)
         low = won.groupBy("value").agg(F.min("rank").alias("low"))
-        best = (
-            won.join(low, "value").filter(F.col("rank").eqNullSafe(F.col("low")))
-            .groupBy("value", "rank").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-        )
-    one = F.size("ids") == 1
-    return best.select("value", F.when(one, F.col("ids")[0]).otherwise("").alias("entry_id"), F.when(one, F.col("rank")).alias("rank"))
+        best = won.join(low, "value").filter(F.col("rank").eqNullSafe(F.col("low"))).groupBy("value", "rank").agg(F.sum("ties").alias("ties"), F.min("first").alias("first"))
+    one = F.col("ties") == 1
+    return best.select("value", F.when(one, F.col("first")).otherwise("").alias("entry_id"), F.when(one, F.col("rank")).alias("rank"))
 
 
 def _answers(index: PlaceIndex, values: pd.Series) -> pd.DataFrame:
     out = []
     for v in values:
         b = index.best(v)
-        out.append((v, b[0] if b else None, b[1][:50] if b else []))
-    return pd.DataFrame(out, columns=["value", "rank", "ids"]).astype({"rank": "Int32"})
+        out.append((v, b[0] if b else None, len(b[1]) if b else 0, b[1][0] if b else None))
+    return pd.DataFrame(out, columns=["value", "rank", "ties", "first"]).astype({"rank": "Int32", "ties": "int64", "first": "object"})

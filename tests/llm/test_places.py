@@ -44,3 +44,16 @@ def test_map_values_broadcast_and_sharded(spark, tree_rows):
     assert got == {"Cavalina": "3", "Alto": "", "x" * 10: ""}
     assert P.map_values(v, e.limit(0)).filter("entry_id <> ''").count() == 0
     assert P.map_values(v.limit(0), e).count() == 0
+
+
+def test_sharded_list_against_the_single_tree(spark):
+    import random
+
+    rnd = random.Random(2)
+    parts = "ba co di fu ga lo mi ne pu ro sa te vi zo".split()
+    names = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(3, 6))) for _ in range(3_000)})
+    e = spark.createDataFrame([(f"e{i}", n, "", "") for i, n in enumerate(names)], "entry_id string, label string, code string, province string")
+    slips = [n[:i] + rnd.choice("aeio") + n[i + 1 :] for n in names[::7] for i in (2, 4)] + ["zz" * 9]
+    v = spark.createDataFrame([(x,) for x in slips + names[::50]], "value string")
+    one = {tuple(r) for r in P.map_values(v, e).collect()}
+    assert one == {tuple(r) for r in P.map_values(v, e, 400).collect()} and len({r[1] for r in one}) > 50

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fondaco.llm import tokens as K
-from fondaco.llm.mixture import mix, pfair, plan
+from fondaco.llm.mixture import mix, period, pfair, plan
 
 PATH = K.vocabulary()
 needs = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
@@ -90,3 +90,25 @@ def test_mixture(spark):
     rows = m.mixed.toPandas()
     assert rows.groupby(["doc_id", "copy"]).size().max() == 1 and rows.groupby("doc_id").size().max() <= 3
     assert mix(docs.limit(0), goals).mixed.count() == 0
+
+
+def test_schedule_repeats():
+    w = {"a": Fraction(1, 2), "b": Fraction(3, 10), "c": Fraction(1, 5)}
+    assert period(w) == (10, w) and pfair(w, 40) == pfair(w, 10) * 4
+    odd = {"a": Fraction(1, 3), "b": Fraction(1, 7), "c": Fraction(11, 21) - Fraction(1, 10**9), "d": Fraction(1, 10**9)}
+    n, rounded = period(odd, 100)
+    assert n == 100 and sum(rounded.values()) == 1 and all(v > 0 and (v * n).denominator == 1 for v in rounded.values())
+
+
+def test_mixture_of_many_periods(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], 2_000) for i in range(600)], "doc_id long, source string, n_tokens long")
+    goals = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 3), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    m = mix(docs, goals)
+    rows = sorted((r.slot, r.source, r.n_tokens) for r in m.mixed.collect())
+    share, seen, all_ = {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0, "b": 0, "c": 0}, 0
+    assert m.period == 10 and rows[-1][0] > 10 * m.period
+    for k, (slot, s, n) in enumerate(rows):
+        seen[s] += n
+        all_ += n
+        if k + 1 == len(rows) or rows[k + 1][0] != slot:
+            assert all(abs(seen[x] - share[x] * (slot + 1) * m.slot_tokens) < 2 * m.slot_tokens for x in share)
