@@ -131,19 +131,20 @@ def hidden_inputs(c: str | Column) -> Column:
     keys = F.array_distinct(F.transform(pair, lambda p: p["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pair, lambda p: p["k"] == k), -1)["v"]))
 
-# Latin digraphs and letters in Cyrillic, the longest first.
+
+# Latin groups of letters and letters in Cyrillic.
 CYRILLIC = {
-    "shch": "щ", "sch": "щ", "zh": "ж", "kh": "х", "ts": "ц", "ch": "ч", "sh": "ш", "yu": "ю", "ya": "я", "yo": "ё", "ju": "ю", "ja": "я",
-    "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "z": "з", "i": "и", "j": "й", "y": "й", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "f": "ф", "h": "х", "c": "к", "w": "в", "x": "кс", "q": "к",
+    "a": "а", "b": "б", "c": "к", "ch": "ч", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "ij": "ий", "j": "й", "ja": "я", "ju": "ю", "k": "к", "kh": "х", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п",
+    "q": "к", "r": "р", "s": "с", "sch": "щ", "sh": "ш", "shch": "щ", "t": "т", "ts": "ц", "tsch": "ч", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "й", "ya": "я", "ye": "е", "yo": "ё", "yu": "ю", "z": "з", "zh": "ж",
 }
 
 
 def to_cyrillic(c: str | Column) -> Column:
-    """Latin text in Cyrillic letters; the longest group of letters wins at each place."""
-    s = F.lower(_c(c))
-    for latin, cyr in sorted(CYRILLIC.items(), key=lambda x: -len(x[0])):
-        s = F.replace(s, F.lit(latin), F.lit(cyr))
-    return s
+    """Latin text in Cyrillic letters, from left to right: at each place the longest group of letters that the table has."""
+    groups = "|".join(sorted(CYRILLIC, key=lambda x: (-len(x), x)))
+    table = F.map_from_arrays(F.array(*map(F.lit, CYRILLIC)), F.array(*map(F.lit, CYRILLIC.values())))
+    pieces = F.regexp_extract_all(F.lower(_c(c)), F.lit(f"(?s)(?:{groups})|."), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
 
 
 def drop_repeated_lead(c: str | Column, most: int = 8) -> Column:

@@ -60,13 +60,14 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")).alias("pos", "sentence"))
 
 
+def _named(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
 def mentions(df: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
-    """(key, kind, value, n): matches of each rule's pattern (first group), counted per document."""
-    found = [df.select(key, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(text, F.lit(p), F.lit(1))).alias("value")) for kind, p in rules.items()]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy(key, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(key, kind, value, n): matches of each rule's pattern (first group), counted per document; the text is read once for all rules."""
+    hits = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), _named(kind)) for kind, p in rules.items()]
+    return df.select(key, F.explode(F.concat(*hits)).alias("m")).groupBy(key, "m.kind", "m.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf(tokens: DataFrame, key: str) -> DataFrame:

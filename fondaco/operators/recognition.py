@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,33 +61,57 @@ def token_alignment(df: DataFrame, key: str, ref: str, out: str) -> DataFrame:
     return df.select(key, ref, out).mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{c} int" for c in cols))
 
 
-def log_cdf(k: int, n: int, p: float) -> float:
-    """log P(X <= k) of a binomial, summed without overflow."""
-    if p <= 0:
-        return 0.0
-    if p >= 1:
-        return 0.0 if k >= n else -math.inf
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
-
-
-def upper_bound(k: int, n: int, alpha: float = 0.05) -> float:
-    """Exact one-sided upper bound of a rate with k cases of n, by bisection; 1 without observations."""
-    if n <= 0 or k >= n:
-        return 1.0
-    low, high, goal = k / n, 1.0, math.log(alpha)
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if log_cdf(k, n, mid) > goal else (low, mid)
-    return high
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction; arrays of one length, 0 < x < 1."""
+    turn = x > (a + 1) / (a + b + 2)  # the fraction converges fast below the mean
+    y, p, q = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
+    front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    deep = 100 + 4 * math.ceil(math.sqrt(float(np.max(p + q))))  # terms that matter grow with the root of the parameters
+    below = np.ones_like(y)
+    for j in range(deep, 0, -1):
+        m = j // 2
+        term = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)) if j % 2 else m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        below = 1 + term / below
+    out = front / below
+    return np.where(turn, 1 - out, out)
+
+
+def beta_quantile(share: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with I_x(a, b) = share: Newton's steps inside a bracket that every step narrows."""
+    low, high, x = np.zeros_like(a), np.ones_like(a), a / (a + b)
+    norm = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+    for _ in range(200):
+        off = beta_share(x, a, b) - share
+        low, high = np.where(off < 0, x, low), np.where(off < 0, high, x)
+        slope = np.exp(norm + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        new = x - off / np.maximum(slope, 1e-300)
+        new = np.where((new > low) & (new < high), new, (low + high) / 2)
+        done = np.abs(new - x) < 1e-13
+        x = new
+        if np.all(done):
+            break
+    return x
+
+
+def upper_bounds(k: np.ndarray, n: np.ndarray, alpha: float = 0.05) -> np.ndarray:
+    """Exact one-sided upper bounds of rates with k cases of n: quantiles of Beta(k + 1, n - k); 1 without observations or when all are cases."""
+    k, n = np.asarray(k, dtype=float), np.asarray(n, dtype=float)
+    out = np.ones(len(k))
+    open_ = (n > 0) & (k < n)
+    if open_.any():
+        pairs, back = np.unique(np.stack([k[open_], n[open_]]), axis=1, return_inverse=True)
+        out[open_] = beta_quantile(1 - alpha, pairs[0] + 1, pairs[1] - pairs[0])[back.ravel()]
+    return out
 
 
 def bound_column(k: Column | str, n: Column | str, alpha: float = 0.05) -> Column:
-    """:func:`upper_bound` as a column."""
+    """:func:`upper_bounds` as a column."""
 
     def run(ks: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([upper_bound(int(a), int(b), alpha) for a, b in zip(ks, ns)])
+        return pd.Series(upper_bounds(ks.to_numpy(), ns.to_numpy(), alpha))
 
     return F.pandas_udf(run, T.DoubleType())(k, n)
 

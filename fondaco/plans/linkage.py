@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators.incremental import set_digest
 from ..session import table
 from .base import Registry
 from .text import _LABEL
@@ -160,20 +161,17 @@ def _(spark, d):
     return j.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("hit_id", "result_id", F.col("score").cast("long").alias("score"))
 
 
-_SIG = "SELECT source_id, md5(string_agg(DISTINCT document_id || ':' || coalesce(content_hash, ''), ',' ORDER BY document_id || ':' || coalesce(content_hash, ''))) AS s FROM source_documents WHERE registered_at < TIMESTAMP '{}' GROUP BY 1"
+_DIGEST = "SELECT source_id, CAST(sum(CAST(('0x' || substr(md5(document_id || ':' || coalesce(content_hash, '')), 1, 12))::BIGINT AS HUGEINT)) AS VARCHAR) || '-' || CAST(count(*) AS VARCHAR) AS s, max(registered_at) AS last_at FROM (SELECT source_id, document_id, content_hash, max(registered_at) AS registered_at FROM source_documents WHERE registered_at < TIMESTAMP '{}' GROUP BY 1, 2, 3) GROUP BY 1"
 
 
-@query("st03_reusable_steps", f"SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.s = b.s, false) AS reusable FROM ({_SIG.format('2024-06-01')}) a FULL JOIN ({_SIG.format('2024-09-01')}) b ON a.source_id = b.source_id")
+@query("st03_reusable_steps", f"SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.s = b.s, false) AND EXISTS (SELECT 1 FROM detail_pages p WHERE p.source_id = b.source_id) AS reusable FROM ({_DIGEST.format('2024-06-01')}) a FULL JOIN ({_DIGEST.format('2024-09-01')}) b ON a.source_id = b.source_id WHERE coalesce(a.source_id, b.source_id) IS NOT NULL")
 def _(spark, d):
-    """Steps whose signature over their inputs is the same as at the last run."""
-    s = table(spark, d, "source_documents").withColumn("at", F.col("registered_at").cast("timestamp_ntz"))
-
-    def signature(day: str, name: str):
-        part = F.concat_ws(":", "document_id", F.coalesce("content_hash", F.lit("")))
-        r = s.filter(F.col("at") < F.lit(f"{day} 00:00:00").cast("timestamp_ntz")).select("source_id", part.alias("p")).distinct()
-        return r.groupBy("source_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("p")), ",").cast("binary")).alias(name))
-
-    return signature("2024-06-01", "a").join(signature("2024-09-01", "b"), "source_id", "full_outer").select("source_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("reusable"))
+    """Steps whose digest of inputs is the same as at the last run and whose outputs (fetched pages) exist."""
+    s = table(spark, d, "source_documents").filter("source_id is not null").withColumn("at", F.col("registered_at").cast("timestamp_ntz"))
+    digest = lambda day, name: set_digest(s.filter(F.col("at") < F.lit(f"{day} 00:00:00").cast("timestamp_ntz")).select("source_id", "document_id", "content_hash").distinct(), ["source_id"], ["document_id", "content_hash"]).withColumnRenamed("digest", name)
+    made = table(spark, d, "detail_pages").select("source_id").distinct().withColumn("made", F.lit(True))
+    both = digest("2024-06-01", "a").join(digest("2024-09-01", "b"), "source_id", "full_outer").join(made, "source_id", "left")
+    return both.select("source_id", (F.coalesce(F.col("a") == F.col("b"), F.lit(False)) & F.coalesce("made", F.lit(False))).alias("reusable"))
 
 
 @query("o46_tiles", "SELECT doc_id, CAST(count(*) AS BIGINT) AS tiles FROM (SELECT doc_id, unnest(range(0, CASE WHEN n_chars <= 500 THEN 1 ELSE CAST(ceil((n_chars - 500) / 450.0) AS BIGINT) + 1 END)) AS i FROM documents WHERE n_chars IS NOT NULL) GROUP BY 1")

@@ -10,7 +10,7 @@ from ..functions.text import ACCENTS, word_tokens
 from ..operators.documents import box_overlap
 from ..operators.recognition import bound_column, ratio, token_alignment
 from ..operators.relational import islands
-from ..session import table
+from ..session import cut, table
 from .base import Registry
 
 query = Registry()
@@ -71,14 +71,23 @@ def token_ratios(spark, d):
     return s.select("page_id", F.round(ratio(F.col("common"), F.col("ref")), 6).alias("coverage"), F.round(ratio(F.col("out") - F.col("common"), F.col("out")), 6).alias("invention"))
 
 
-_CONF = "(SELECT engine, unnest(list_transform(regions, lambda x: x.confidence)) AS c FROM ocr_pages)"
+_CONF = "(SELECT engine, round(unnest(list_transform(regions, lambda x: x.confidence)), 4) AS c FROM ocr_pages)"
 
 
-@query("o13_confidence_statistics", f"""SELECT engine, count(*) AS regions, count(c) AS scored, round(avg(c), 6) AS mean, round(median(c), 6) AS median, round(min(c), 6) AS least, round(max(c), 6) AS most FROM {_CONF} GROUP BY 1""")
+@query("o13_confidence_statistics", f"""SELECT engine, count(*) AS regions, count(c) AS scored, round(avg(c), 6) AS mean, quantile_disc(c, 0.5) AS median, quantile_disc(c, 0.1) AS p10, min(c) AS least, max(c) AS most, max(c) > 1 AND min(c) <= 1 AS mixed_scale FROM {_CONF} GROUP BY 1""")
 def _(spark, d):
-    r = table(spark, d, "ocr_pages").select("engine", F.explode(F.transform("regions", lambda x: x["confidence"])).alias("c"))
-    f = lambda x: F.round(x, 6)
-    return r.groupBy("engine").agg(_n().alias("regions"), F.count("c").alias("scored"), f(F.avg("c")).alias("mean"), f(F.median("c")).alias("median"), f(F.min("c")).alias("least"), f(F.max("c")).alias("most"))
+    """Nearest-rank statistics from a histogram of scores in ten-thousandths, so a group is never gathered."""
+    r = table(spark, d, "ocr_pages").select("engine", F.explode(F.transform("regions", lambda x: F.round(x["confidence"], 4))).alias("c"))
+    h = r.groupBy("engine", "c").agg(_n().alias("n"))
+    scored = h.filter("c is not null")
+    w = Window.partitionBy("engine").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("n").over(Window.partitionBy("engine"))
+    ranked = scored.select("engine", "c", "n", F.sum("n").over(w).alias("upto"), total.alias("all"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)), F.col("c")))
+    stats = ranked.groupBy("engine").agg(F.sum("n").alias("scored"), F.round(F.sum(F.col("c") * F.col("n")) / F.sum("n"), 6).alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"), F.min("c").alias("least"), F.max("c").alias("most"))
+    regions = h.groupBy("engine").agg(F.sum("n").alias("regions"))
+    out = regions.join(stats, "engine", "left")
+    return out.select("engine", "regions", F.coalesce("scored", F.lit(0)).alias("scored"), "mean", "median", "p10", "least", "most", ((F.col("most") > 1) & (F.col("least") <= 1)).alias("mixed_scale"))
 
 
 @query("o14_page_risk", f"""SELECT page_id, greatest(1 - coverage, invention) AS risk FROM ({query.SQL['o09_token_ratios']})""")
@@ -87,20 +96,98 @@ def page_risk(spark, d):
     return token_ratios(spark, d).select("page_id", F.when(F.col("coverage").isNotNull() & F.col("invention").isNotNull(), F.greatest(1 - F.col("coverage"), "invention")).alias("risk"))
 
 
-@query("o17_error_bounds")
+def _cdf_sql(k: str, n: str, p: str) -> str:
+    """P(X <= k) of a binomial, summed term by term."""
+    k, n = f"CAST({k} AS BIGINT)", f"CAST({n} AS BIGINT)"
+    return f"list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))"
+
+
+_WRONG = f"(SELECT language, count_if(levenshtein(a, b) > 0.1 * length(a)) AS bad, count(*) AS pages FROM {_FOLDED} GROUP BY 1)"
+
+
+@query(
+    "o17_error_bounds",
+    f"""WITH RECURSIVE s AS (SELECT * FROM {_WRONG}), b AS (SELECT bad AS k, pages AS n, bad * 1.0::DOUBLE / pages AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM (SELECT DISTINCT bad, pages FROM s WHERE bad < pages)
+    UNION ALL SELECT k, n, CASE WHEN {_cdf_sql('k', 'n', '((lo + hi) / 2)')} > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_cdf_sql('k', 'n', '((lo + hi) / 2)')} > 0.05 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM b WHERE step < 45)
+    SELECT language, bad, pages, coalesce(round((SELECT hi FROM b WHERE k = bad AND n = pages AND step = 45), 6), 1.0) AS upper_bound FROM s""",
+)
 def error_bounds(spark, d):
-    """Share of pages of each language with a tenth of the characters wrong, and its exact upper bound."""
-    t = page_texts(spark, d).withColumn("bad", F.levenshtein("reference", "recognised") > 0.1 * F.length("reference"))
+    """Pages of each language with a tenth of the characters wrong, and the exact upper bound of their share."""
+    t = page_texts(spark, d).withColumn("bad", F.levenshtein(folded("reference"), folded("recognised")) > 0.1 * F.length(folded("reference")))
     s = t.groupBy("language").agg(F.count_if("bad").alias("bad"), _n().alias("pages"))
-    return s.select("language", "bad", "pages", bound_column("bad", "pages").alias("upper_bound"))
+    return s.select("language", "bad", "pages", F.round(bound_column("bad", "pages"), 6).alias("upper_bound"))
+
+
+#: A page breaches above this risk; share of breaching pages that the exact bound may reach; confidence of the bound is 1 - ALPHA.
+BREACH, LIMIT, ALPHA = 0.3, 0.6, 0.05
+_RISK = f"(SELECT l.language, round(r.risk, 4) AS risk, r.page_id FROM ({query.SQL['o14_page_risk']}) r JOIN {_TEXTS} l USING (page_id) WHERE r.risk IS NOT NULL)"
+
+
+def scored_pages(spark, d):
+    """(page_id, language, risk) with risks of four digits."""
+    lang = page_texts(spark, d).select("page_id", "language")
+    return page_risk(spark, d).filter("risk is not null").join(lang, "page_id").select("page_id", "language", F.round("risk", 4).alias("risk"))
+
+
+@query(
+    "o15_threshold",
+    f"""SELECT max(cutoff) AS cutoff FROM (SELECT c.cutoff, bool_and({_cdf_sql('s.bad', 's.n', str(LIMIT))} <= {ALPHA} AND s.n > s.bad) AS fine FROM (SELECT DISTINCT risk AS cutoff FROM {_RISK}) c, LATERAL (SELECT g.language, coalesce(count(x.page_id), 0) AS n, coalesce(count_if(x.risk > {BREACH}), 0) AS bad FROM (SELECT DISTINCT language FROM {_RISK}) g LEFT JOIN {_RISK} x ON x.language = g.language AND x.risk <= c.cutoff GROUP BY 1) s GROUP BY 1) WHERE fine""",
+)
+def _(spark, d):
+    """The largest cutoff at which every language's exact upper bound of breaching pages is within the limit.
+
+    Scores have four digits, so the grid of cutoffs and languages is bounded however many pages there are.
+    """
+    s = scored_pages(spark, d).groupBy("language", "risk").agg(_n().alias("n"), F.count_if(F.col("risk") > BREACH).alias("bad"))
+    grid = s.select("risk").distinct().join(F.broadcast(s.select("language").distinct()))  # scores times languages
+    w = Window.partitionBy("language").orderBy("risk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = grid.join(s, ["language", "risk"], "left").select("language", "risk", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"), F.coalesce(F.sum("bad").over(w), F.lit(0)).alias("bad"))
+    fine = upto.withColumn("fine", bound_column("bad", "n", ALPHA) <= LIMIT).groupBy("risk").agg(F.bool_and("fine").alias("fine"))
+    return fine.filter("fine").agg(F.max("risk").alias("cutoff"))
+
+
+_HELD = f"(SELECT *, ('0x' || substr(md5(page_id), 1, 1))::INT >= 8 AS held FROM {_RISK})"
+
+
+@query(
+    "o16_holdout_audit",
+    f"""WITH x AS (SELECT language, count_if(risk <= 0.5) AS accepted, count_if(risk <= 0.5 AND risk > {BREACH}) AS bad FROM {_HELD} WHERE held GROUP BY 1), y AS (SELECT * FROM x UNION ALL SELECT 'all', CAST(sum(accepted) AS BIGINT), CAST(sum(bad) AS BIGINT) FROM x)
+    SELECT language, accepted, bad, accepted > bad AND coalesce({_cdf_sql('bad', 'accepted', str(LIMIT))} <= {ALPHA} / (SELECT count(*) FROM y), false) AS passed FROM y""",
+)
+def _(spark, d):
+    """Pages held out by hash, those within a cutoff: each language and all together against the exact bound, Bonferroni's correction for their number."""
+    held = scored_pages(spark, d).filter(F.conv(F.substring(F.md5(F.col("page_id").cast("binary")), 1, 1), 16, 10).cast("int") >= 8)
+    x = held.groupBy("language").agg(F.count_if(F.col("risk") <= 0.5).alias("accepted"), F.count_if((F.col("risk") <= 0.5) & (F.col("risk") > BREACH)).alias("bad"))
+    y = cut(x.unionByName(x.agg(F.sum("accepted").alias("accepted"), F.sum("bad").alias("bad")).select(F.lit("all").alias("language"), "accepted", "bad")))
+    m = max(1, y.count())  # languages and one
+    return y.select("language", "accepted", "bad", ((F.col("accepted") > F.col("bad")) & (bound_column("bad", "accepted", ALPHA / m) <= LIMIT)).alias("passed"))
+
+
+@query("o20_provisional_cutoff", f"SELECT max(risk) AS cutoff, count(*) AS cases FROM (SELECT risk, min(CASE WHEN risk > {BREACH} THEN risk END) OVER () AS first_bad FROM (SELECT risk FROM {_RISK} ORDER BY md5(page_id), page_id LIMIT 10)) WHERE first_bad IS NULL OR risk < first_bad")
+def _(spark, d):
+    """Of ten pages drawn by hash, the largest score below every breaching one (the sample is the operator's own rule)."""
+    s = scored_pages(spark, d).orderBy(F.md5(F.col("page_id").cast("binary")), "page_id").limit(10)
+    first = s.agg(F.min(F.when(F.col("risk") > BREACH, F.col("risk"))).alias("first_bad"))  # one row
+    return s.join(F.broadcast(first)).filter("first_bad is null OR risk < first_bad").agg(F.max("risk").alias("cutoff"), _n().alias("cases"))
 
 
-@query("o15_threshold", f"""SELECT max(risk) AS cutoff FROM (SELECT risk, sum(n) OVER w AS n, sum(bad) OVER w AS bad FROM (SELECT risk, count(*) AS n, count_if(risk > 0.3) AS bad FROM (SELECT round(risk, 4) AS risk FROM ({query.SQL['o14_page_risk']})) WHERE risk IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY risk)) WHERE bad <= 0.05 * n""")
+@query("o21_dispositions", f"SELECT o.page_id, CASE WHEN r.risk IS NULL THEN 'review' WHEN o.language NOT IN ('ita', 'deu') THEN 'review' WHEN r.risk <= 0.25 THEN 'accept' ELSE 'review' END AS disposition, CASE WHEN r.risk IS NULL THEN 'no_score' WHEN o.language NOT IN ('ita', 'deu') THEN 'out_of_scope' WHEN r.risk <= 0.25 THEN 'within_cutoff' ELSE 'above_cutoff' END AS reason FROM (SELECT page_id, min(language) AS language FROM ocr_pages GROUP BY 1) o LEFT JOIN {_RISK} r USING (page_id)")
 def _(spark, d):
-    # scores are rounded to 4 digits, so there are at most 10,001 of them and one window over them is bounded
-    s = page_risk(spark, d).select(F.round("risk", 4).alias("risk")).filter("risk is not null").groupBy("risk").agg(_n().alias("n"), F.count_if(F.col("risk") > 0.3).alias("bad"))
-    w = Window.orderBy("risk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return s.select("risk", F.sum("n").over(w).alias("n"), F.sum("bad").over(w).alias("bad")).filter(F.col("bad") <= 0.05 * F.col("n")).agg(F.max("risk").alias("cutoff"))
+    o = table(spark, d, "ocr_pages").groupBy("page_id").agg(F.min("language").alias("scope"))
+    r = F.col("risk")
+    reason = F.when(r.isNull(), "no_score").when(~F.col("scope").isin("ita", "deu"), "out_of_scope").when(r <= 0.25, "within_cutoff").otherwise("above_cutoff")
+    return o.join(scored_pages(spark, d), "page_id", "left").withColumn("reason", reason).select("page_id", F.when(F.col("reason") == "within_cutoff", "accept").otherwise("review").alias("disposition"), "reason")
+
+
+@query("o12_page_features", f"""SELECT page_id, round(coverage, 6) AS coverage, round(1 - levenshtein(a, b) * 1.0::DOUBLE / greatest(length(a), length(b)), 6) AS agreement, confidence FROM ({query.SQL['o09_token_ratios']}) JOIN {_FOLDED} USING (page_id) JOIN (SELECT page_id, round(list_avg(list_transform(min(regions), lambda x: x.confidence)), 6) AS confidence FROM ocr_pages GROUP BY 1) USING (page_id)""")
+def _(spark, d):
+    """Agreement of the characters, coverage of the tokens and mean confidence of each page."""
+    t = page_texts(spark, d)
+    a, b = folded("reference"), folded("recognised")
+    agree = t.select("page_id", F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 6).alias("agreement"))
+    conf = F.filter(F.transform("regions", lambda x: x["confidence"]), lambda c: c.isNotNull())
+    c = table(spark, d, "ocr_pages").groupBy("page_id").agg(F.min("regions").alias("regions")).select("page_id", F.round(F.when(F.size(conf) > 0, F.aggregate(conf, F.lit(0.0), lambda x, y: x + y) / F.size(conf)), 6).alias("confidence"))
+    return token_ratios(spark, d).select("page_id", F.round("coverage", 6).alias("coverage")).join(agree, "page_id").join(c, "page_id")
 
 
 _REGIONS = "(SELECT page_id, i - 1 AS line_no, regions[i].text AS text, regions[i].confidence AS confidence, regions[i].geometry.bbox AS box FROM (SELECT page_id, regions, unnest(range(1, len(regions) + 1)) AS i FROM (SELECT page_id, min(regions) AS regions FROM ocr_pages GROUP BY 1)))"
@@ -112,15 +199,32 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     return o.select("page_id", F.posexplode("regions").alias("line_no", "r")).select("page_id", F.col("line_no").cast("long").alias("line_no"), "r.text", "r.confidence", F.col("r.geometry.bbox").alias("box"))
 
 
-@query("j31_region_overlap", f"""SELECT a.page_id, a.line_no AS upper, b.line_no AS lower, round((least(a.box[3], b.box[3]) - greatest(a.box[1], b.box[1])) * (least(a.box[4], b.box[4]) - greatest(a.box[2], b.box[2])), 4) AS area FROM {_REGIONS} a JOIN {_REGIONS} b ON a.page_id = b.page_id AND b.line_no > a.line_no
- WHERE least(a.box[3], b.box[3]) > greatest(a.box[1], b.box[1]) AND least(a.box[4], b.box[4]) > greatest(a.box[2], b.box[2])""")
+#: By how much the second reading of the overlap query lies lower, as the tables hold one reading of each page.
+SHIFT = 12.0
+_PAIRS = f"""(SELECT a.page_id, a.line_no AS first_no, b.line_no AS second_no, a.text IS NOT DISTINCT FROM b.text AS same FROM {_REGIONS} a JOIN {_REGIONS} b ON a.page_id = b.page_id
+ WHERE least(a.box[3], b.box[3]) > greatest(a.box[1], b.box[1]) AND least(a.box[4], b.box[4] + {SHIFT}) > greatest(a.box[2], b.box[2] + {SHIFT}))"""
+
+
+@query(
+    "j31_region_overlap",
+    f"""WITH p AS {_PAIRS}, f AS (SELECT page_id, first_no, count(*) AS k FROM p GROUP BY 1, 2), g AS (SELECT page_id, second_no, count(*) AS k FROM p GROUP BY 1, 2)
+    SELECT p.page_id, CASE WHEN f.k = 1 AND g.k = 1 AND same THEN 'agree' WHEN f.k = 1 AND g.k = 1 THEN 'disagree' ELSE 'ambiguous' END AS state, count(*) AS pairs FROM p JOIN f USING (page_id, first_no) JOIN g USING (page_id, second_no) GROUP BY 1, 2""",
+)
 def _(spark, d):
+    """Regions of two readings of a page (the second one derived) that overlap: alone with each other, with the same text or another, or in larger groups."""
     # boxes meet in bands of their height, so a page's regions are never all paired
     band = 100.0
-    r = regions(spark, d).select("page_id", "line_no", "box").filter("box is not null").withColumn("band", F.explode(F.sequence(F.floor(F.col("box")[1] / band), F.floor(F.col("box")[3] / band))))
-    a, b = r.select("page_id", "band", F.col("line_no").alias("upper"), F.col("box").alias("x")), r.select("page_id", "band", F.col("line_no").alias("lower"), F.col("box").alias("y"))
-    p = a.join(b, ["page_id", "band"]).filter("lower > upper").withColumn("area", box_overlap(F.col("x"), F.col("y"))).filter("area > 0")
-    return p.groupBy("page_id", "upper", "lower").agg(F.round(F.max("area"), 4).alias("area"))
+    r = regions(spark, d).select("page_id", "line_no", "text", "box").filter("box is not null")
+    low = r.withColumn("box", F.transform("box", lambda v, i: F.when(i % 2 == 1, v + SHIFT).otherwise(v)))
+    banded = lambda df: df.withColumn("band", F.explode(F.sequence(F.floor(F.col("box")[1] / band), F.floor(F.col("box")[3] / band))))
+    a = banded(r).select("page_id", "band", F.col("line_no").alias("first_no"), F.col("box").alias("x"), F.col("text").alias("ta"))
+    b = banded(low).select("page_id", "band", F.col("line_no").alias("second_no"), F.col("box").alias("y"), F.col("text").alias("tb"))
+    met = a.join(b, ["page_id", "band"]).filter(box_overlap(F.col("x"), F.col("y")) > 0)
+    p = met.groupBy("page_id", "first_no", "second_no").agg(F.bool_and(F.col("ta").eqNullSafe(F.col("tb"))).alias("same"))
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy("page_id", c)) == 1
+    one = alone("first_no") & alone("second_no")
+    p = p.withColumn("one", one)
+    return p.groupBy("page_id", F.when(F.col("one") & F.col("same"), "agree").when(F.col("one"), "disagree").otherwise("ambiguous").alias("state")).agg(_n().alias("pairs"))
 
 
 @query("o38_page_lines", f"""SELECT page_id, count(*) AS lines, round(avg(confidence), 6) AS confidence, min(box[1]) AS x0, min(box[2]) AS y0, max(box[3]) AS x1, max(box[4]) AS y1 FROM {_REGIONS} GROUP BY 1""")
@@ -152,4 +256,27 @@ def _(spark, d):
     return table(spark, d, "ocr_pages").groupBy("page_id").agg(F.min(F.array_join(F.transform("regions", lambda r: r["text"]), "\n")).alias("text"))
 
 
+@query("o24_layout_issues", f"""SELECT page_id, code, count(*) AS n FROM (SELECT page_id, CASE WHEN box IS NULL OR len(box) <> 4 THEN 'no_box' WHEN box[3] <= box[1] OR box[4] <= box[2] THEN 'inverted_box' WHEN trim(coalesce(text, '')) = '' THEN 'no_text' END AS code FROM {_REGIONS}) WHERE code IS NOT NULL GROUP BY 1, 2""")
+def _(spark, d):
+    """What is wrong with a page's regions, by code."""
+    b = F.col("box")
+    code = F.when(b.isNull() | (F.size(b) != 4), "no_box").when((b[2] <= b[0]) | (b[3] <= b[1]), "inverted_box").when(F.trim(F.coalesce("text", F.lit(""))) == "", "no_text")
+    return regions(spark, d).select("page_id", code.alias("code")).filter("code is not null").groupBy("page_id", "code").agg(_n().alias("n"))
+
+
+@query("o39_line_signals", f"""SELECT page_id, line_no, regexp_matches(text, '^\\W*[0-9]{{1,4}}\\W*$') AS numeric, upper(text) = text AND lower(text) <> text AS capitals, length(text) < 20 AS short, box[2] < 60 AS at_top FROM {_REGIONS} WHERE text IS NOT NULL AND box IS NOT NULL""")
+def _(spark, d):
+    """Signals of each line's shape and place."""
+    r = regions(spark, d).filter("text is not null AND box is not null")
+    return r.select("page_id", "line_no", F.col("text").rlike(r"^\W*[0-9]{1,4}\W*$").alias("numeric"), ((F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))).alias("capitals"), (F.length("text") < 20).alias("short"), (F.col("box")[1] < 60).alias("at_top"))
+
+
+@query("g16_page_blocks", f"""SELECT page_id, CASE WHEN regexp_matches(text, '^[^:]{{2,30}}: \\S') THEN 'key_value' WHEN upper(text) = text AND lower(text) <> text THEN 'heading' WHEN regexp_matches(text, '[.]{{3,}} *[0-9]+$') THEN 'list_entry' WHEN trim(coalesce(text, '')) = '' THEN 'unknown' ELSE 'paragraph' END AS kind, count(*) AS lines FROM {_REGIONS} GROUP BY 1, 2""")
+def _(spark, d):
+    """Lines of pages by what they are in the page's structure."""
+    t = F.col("text")
+    kind = F.when(t.rlike(r"^[^:]{2,30}: \S"), "key_value").when((F.upper(t) == t) & (F.lower(t) != t), "heading").when(t.rlike(r"[.]{3,} *[0-9]+$"), "list_entry").when(F.trim(F.coalesce(t, F.lit(""))) == "", "unknown").otherwise("paragraph")
+    return regions(spark, d).groupBy("page_id", kind.alias("kind")).agg(_n().alias("lines"))
+
+
 QUERIES, SQL = query.QUERIES, query.SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.incremental import set_digest
 from ..operators.relational import dense_histogram, first_match, first_wins, hash_id, insert_new, multiset_common, newest, pre_aggregated, snapshot_diff
 from ..session import table
 from .base import Registry
@@ -58,12 +59,18 @@ def _(spark, d):
     )
 
 
-_RUNS = """SELECT run_id, min(run_timestamp) AS started FROM search_runs GROUP BY run_id"""
+def instant(c: str):
+    """A written point in time (UTC, with or without its mark) as a timestamp; null where it is none."""
+    return F.expr(f"try_cast(regexp_replace(replace({c}, 'T', ' '), '(Z|[+]00:00)$', '') AS timestamp_ntz)")
+
+
+_INSTANT = "TRY_CAST(regexp_replace(replace({0}, 'T', ' '), '(Z|[+]00:00)$', '') AS TIMESTAMP)"
+_RUNS = f"SELECT run_id, min({_INSTANT.format('run_timestamp')}) AS started FROM search_runs GROUP BY run_id"
 
 
 def runs_with_children(spark: SparkSession, d: str) -> DataFrame:
     """Each run with its children counted before the joins; copies of a delivery count once."""
-    runs = table(spark, d, "search_runs").groupBy("run_id").agg(F.min("run_timestamp").alias("started"))
+    runs = table(spark, d, "search_runs").groupBy("run_id").agg(F.min(instant("run_timestamp")).alias("started"))
     one = lambda t, k: table(spark, d, t).select("run_id", k).distinct()
     return pre_aggregated(runs, "run_id", {"queries": one("person_queries", "id"), "results": one("source_results", "id"), "documents": one("source_documents", "document_id")})
 
@@ -79,9 +86,26 @@ def _(spark, d):
     return runs_with_children(spark, d).orderBy(F.desc("started"), "run_id").limit(50)
 
 
-@query("j02_run_detail", f"SELECT * FROM ({_CHILDREN}) WHERE run_id = 'run-20210101-0000000000'")
+_BUSIEST = "(SELECT r.run_id FROM (SELECT DISTINCT run_id FROM search_runs) r JOIN source_results USING (run_id) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+def busiest_run(spark, d):
+    """The run of search_runs with the most results, ties to the smaller id: one row."""
+    r = table(spark, d, "search_runs").select("run_id").distinct().join(table(spark, d, "source_results").groupBy("run_id").agg(_n().alias("k")), "run_id")
+    return r.orderBy(F.desc("k"), "run_id").limit(1).select("run_id")
+
+
+def run_detail(spark, d, runs: DataFrame) -> DataFrame:
+    """The children's counts of some runs (run_id, distinct); the filter reaches each child before it is counted."""
+    of = lambda t: table(spark, d, t).join(F.broadcast(runs), "run_id", "left_semi")
+    started = of("search_runs").groupBy("run_id").agg(F.min(instant("run_timestamp")).alias("started"))
+    one = lambda t, k: of(t).select("run_id", k).distinct()
+    return pre_aggregated(started, "run_id", {"queries": one("person_queries", "id"), "results": one("source_results", "id"), "documents": one("source_documents", "document_id")})
+
+
+@query("j02_run_detail", f"SELECT * FROM ({_CHILDREN}) WHERE run_id = {_BUSIEST}")
 def _(spark, d):
-    return runs_with_children(spark, d).filter(F.col("run_id") == "run-20210101-0000000000")
+    return run_detail(spark, d, busiest_run(spark, d))
 
 
 @query(
@@ -97,9 +121,10 @@ def _(spark, d):
     return r.join(x, ["run_id", "source_id"], "left").filter("flagged > 0 OR documents IS NULL").withColumn("documents", F.coalesce("documents", F.lit(0)))
 
 
-@query("t01_recent_documents", "SELECT DISTINCT document_id, source_id, title, access_date FROM source_documents ORDER BY access_date DESC NULLS LAST, document_id LIMIT 100")
+@query("t01_recent_documents", "SELECT document_id, source_id, max(title) AS title, max(" + _INSTANT.format("access_date") + ") AS accessed FROM source_documents GROUP BY 1, 2 ORDER BY accessed DESC NULLS LAST, document_id, source_id LIMIT 100")
 def _(spark, d):
-    return table(spark, d, "source_documents").select("document_id", "source_id", "title", "access_date").distinct().orderBy(F.desc_nulls_last("access_date"), "document_id").limit(100)
+    t = table(spark, d, "source_documents").groupBy("document_id", "source_id").agg(F.max("title").alias("title"), F.max(instant("access_date")).alias("accessed"))
+    return t.orderBy(F.desc_nulls_last("accessed"), "document_id", "source_id").limit(100)
 
 
 @query("t02_recent_runs", "SELECT run_id, max(registered_at) AS last_at FROM search_runs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
@@ -125,11 +150,15 @@ def _(spark, d):
     return newest(table(spark, d, "source_documents"), "document_id", "registered_at", ["run_id", "title", "content_hash"])
 
 
-@query("sk02_delete_run", "SELECT id, run_id FROM source_results WHERE run_id IS NULL OR run_id <> 'run-20210101-0000000000'")
+RUN_TABLES = {"search_runs": "run_id", "person_queries": "id", "source_results": "id", "source_documents": "document_id"}
+
+
+@query("sk02_delete_run", " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({k} AS VARCHAR) AS k, run_id FROM {t} WHERE run_id IS NULL OR run_id <> {_BUSIEST}" for t, k in RUN_TABLES.items()))
 def _(spark, d):
-    r = table(spark, d, "source_results").select("id", "run_id")
-    gone = spark.createDataFrame([("run-20210101-0000000000",)], "run_id string")
-    return r.join(gone, "run_id", "left_anti").select("id", "run_id")
+    """What is left of each table when a run (the busiest) is deleted from all that bear runs."""
+    gone = F.broadcast(busiest_run(spark, d))  # one row
+    left = [table(spark, d, t).join(gone, "run_id", "left_anti").select(F.lit(t).alias("table_name"), F.col(k).cast("string").alias("k"), "run_id") for t, k in RUN_TABLES.items()]
+    return left[0].unionByName(left[1]).unionByName(left[2]).unionByName(left[3])
 
 
 @query(
@@ -179,14 +208,14 @@ def _(spark, d):
 
 @query(
     "ag08_identity_groups",
-    """SELECT CASE WHEN coalesce(content_hash, '') <> '' THEN 'hash' WHEN coalesce(url, '') <> '' THEN 'url' ELSE 'title' END AS key_kind,
-    coalesce(nullif(content_hash, ''), nullif(url, ''), title) AS identity, count(DISTINCT document_id) AS documents FROM source_documents GROUP BY ALL HAVING count(DISTINCT document_id) >= 2""",
+    """SELECT key_kind, identity, count(*) AS documents FROM (SELECT CASE WHEN trim(coalesce(text, '')) <> '' THEN 'text' WHEN trim(coalesce(fonds_id, '')) <> '' THEN 'fonds' ELSE 'class' END AS key_kind, coalesce(CASE WHEN trim(coalesce(text, '')) <> '' THEN sha256(text) END, nullif(trim(fonds_id), ''), document_class) AS identity FROM documents) GROUP BY ALL HAVING count(*) >= 2""",
 )
 def _(spark, d):
-    full = lambda c: F.coalesce(c, F.lit("")) != ""
-    kind = F.when(full("content_hash"), "hash").when(full("url"), "url").otherwise("title")
-    key = F.coalesce(F.nullif("content_hash", F.lit("")), F.nullif("url", F.lit("")), "title")
-    return table(spark, d, "source_documents").groupBy(kind.alias("key_kind"), key.alias("identity")).agg(F.countDistinct("document_id").alias("documents")).filter("documents >= 2")
+    """Documents of one identity, by the first key that each has: its text, its holding, its class."""
+    full = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    kind = F.when(full("text"), "text").when(full("fonds_id"), "fonds").otherwise("class")
+    key = F.coalesce(F.when(full("text"), F.sha2("text", 256)), F.nullif(F.trim("fonds_id"), F.lit("")), "document_class")
+    return table(spark, d, "documents").groupBy(kind.alias("key_kind"), key.alias("identity")).agg(_n().alias("documents")).filter("documents >= 2")
 
 
 @query(
@@ -285,13 +314,12 @@ def _(spark, d):
 
 @query(
     "st02_signature",
-    """SELECT source_id, sha256(string_agg(DISTINCT document_id || ':' || coalesce(content_hash, ''), chr(10) ORDER BY document_id || ':' || coalesce(content_hash, ''))) AS signature FROM source_documents GROUP BY 1""",
+    """SELECT source_id, sha256('v1|source_documents|' || source_id || '|' || CAST(sum(CAST(('0x' || substr(md5(document_id || ':' || coalesce(content_hash, '')), 1, 12))::BIGINT AS HUGEINT)) AS VARCHAR) || '-' || CAST(count(*) AS VARCHAR)) AS signature FROM (SELECT DISTINCT source_id, document_id, content_hash FROM source_documents WHERE source_id IS NOT NULL) GROUP BY 1""",
 )
 def _(spark, d):
-    # a signature hashes what it covers as one ordered string, so its group is as large as one source's listing
-    part = F.concat_ws(":", "document_id", F.coalesce("content_hash", F.lit("")))
-    s = table(spark, d, "source_documents").select("source_id", part.alias("p")).distinct()
-    return s.groupBy("source_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p")), "\n"), 256).alias("signature"))
+    """A step's signature: its version, name, parameters and the digest of the set it reads."""
+    s = table(spark, d, "source_documents").filter("source_id is not null").select("source_id", "document_id", "content_hash").distinct()
+    return set_digest(s, ["source_id"], ["document_id", "content_hash"]).select("source_id", F.sha2(F.concat_ws("|", F.lit("v1"), F.lit("source_documents"), "source_id", "digest"), 256).alias("signature"))
 
 
 @query(

@@ -79,10 +79,14 @@ def _(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("tokens"))
 
 
-@query("f25_contexts", r"""SELECT doc_id, trim(regexp_replace(substr(text, greatest(p - 80, 1), 160), '\s+', ' ', 'g')) AS context FROM (SELECT doc_id, text, instr(text, 'registro') AS p FROM documents) WHERE p > 0""")
+@query("f25_contexts", rf"""SELECT doc_id, start, substr(text, greatest(start - 80, 1), 160) AS around FROM (SELECT doc_id, text, 1 + length(list_aggregate(p[1:i], 'string_agg', '')) + 4 * (i - 1) AS start FROM (SELECT doc_id, text, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, text, string_split_regex(text, '1[89][0-9][0-9]') AS p FROM documents WHERE text IS NOT NULL)))""")
 def _(spark, d):
-    t = table(spark, d, "documents").withColumn("p", F.instr("text", F.lit("registro"))).filter("p > 0")
-    return t.select("doc_id", T.window_around("text", F.col("p")).alias("context"))
+    """The 80 characters on both sides of every year in a text, with its position (from 1)."""
+    p = F.split("text", "1[89][0-9][0-9]")
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", p.alias("p"))
+    starts = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: 1 + F.length(F.array_join(F.slice("p", 1, i), "")) + 4 * (i - 1))
+    t = t.filter(F.size("p") > 1).select("doc_id", "text", F.explode(starts).alias("start"))
+    return t.select("doc_id", F.col("start").cast("long").alias("start"), F.substr("text", F.greatest(F.col("start") - 80, F.lit(1)), F.lit(160)).alias("around"))
 
 
 def _score_sql(c: str, lang: str) -> str:

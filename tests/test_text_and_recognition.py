@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from fondaco.functions import text as T
-from fondaco.operators.recognition import align, bound_column, common_order, log_cdf, tile_offsets, token_alignment, upper_bound
+from fondaco.operators.recognition import align, bound_column, common_order, tile_offsets, token_alignment, upper_bounds
 
 
 def one(spark, col, value="x"):
@@ -45,11 +45,12 @@ def test_alignment_and_order(spark):
 
 
 def test_exact_bounds(spark):
-    assert upper_bound(0, 0) == 1.0 and upper_bound(5, 5) == 1.0
-    assert abs(upper_bound(0, 59) - (1 - 0.05 ** (1 / 59))) < 1e-9
-    exact = sum(math.comb(20, i) * 0.3**i * 0.7 ** (20 - i) for i in range(5))
-    assert abs(math.exp(log_cdf(4, 20, 0.3)) - exact) < 1e-12
-    assert abs(spark.range(1).select(bound_column(F.lit(1), F.lit(30)).alias("b")).first().b - upper_bound(1, 30)) < 1e-12
+    assert upper_bounds([0, 5], [0, 5]).tolist() == [1.0, 1.0] and len(upper_bounds([], [])) == 0
+    assert abs(upper_bounds([0], [59])[0] - (1 - 0.05 ** (1 / 59))) < 1e-9
+    for k, n in ((1, 30), (4, 20), (10, 1_000), (300, 700)):  # at the bound, k or fewer cases have the probability alpha
+        u = float(upper_bounds([k], [n])[0])
+        assert abs(sum(math.comb(n, i) * u**i * (1 - u) ** (n - i) for i in range(k + 1)) - 0.05) < 1e-9
+    assert abs(spark.range(1).select(bound_column(F.lit(1), F.lit(30)).alias("b")).first().b - upper_bounds([1], [30])[0]) < 1e-12
     assert tile_offsets(10, 20, 2) == [0] and tile_offsets(25, 10, 2)[-1] == 15
 
 
