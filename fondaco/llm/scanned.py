@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, forget, spread
-from .linkage import edit_pairs
 
 # a numeral with digits, some read as letters; one read as letters throughout; a Roman one
 _NUMERAL = r"(?:(?=[lIiOoSsBzZ|]*[0-9])[0-9lIiOoSsBzZ|]{1,5}|[lIO|]{2,4}|(?=[ivxlcIVXLC])(?:[cC]{0,3}(?:[xX][cC]|[xX][lL]|[lL]?[xX]{0,3})(?:[iI][xX]|[iI][vV]|[vV]?[iI]{0,3})))"
@@ -59,6 +58,8 @@ START = {
 FIT_RECORDS, FIT_ROUNDS, PRIOR = 2_000, 3, 1.0
 #: Share of a wording's pages at whose edge it stands, for a wording seen and a usual one; pages that must have it.
 SEEN, USUAL, PAGES = 0.45, 0.65, 3
+#: Characters at either end of a misread wording that are as they should be.
+NEAR = 5
 #: What the share of a first word alone counts, as it says less than a longer beginning.
 ONE_WORD = 0.65
 
@@ -273,14 +274,16 @@ def head_lines(records: DataFrame, pages: list[str] | None = None) -> DataFrame:
     share = sure_share(F.col("e") - F.col("own_edge"), F.col("n") - F.col("own")) * F.when(alone, ONE_WORD).otherwise(1.0)
     exact = each.join(counts, "k").filter(F.col("n") - F.col("own") >= PAGES - 1).withColumn("share", share).filter(F.col("share") >= SEEN)
     exact = cut(exact.groupBy("src", "rec_key", "line_no").agg(F.max("share").alias("share")))
-    # misread wordings: one edit from a whole wording that is usual
-    usual = counts.filter(F.col("k").rlike("^(?:f:|p:.* )") & (F.length("k") >= 10) & (sure_share(F.col("e"), F.col("n")) >= SEEN))
-    left = w.join(exact.filter(F.col("share") >= USUAL), ["src", "rec_key", "line_no"], "left_anti").select("src", "rec_key", "line_no", F.explode("keys").alias("k")).filter(F.col("k").rlike("^(?:f:|p:.* )") & (F.length("k") >= 10))
-    forms = left.select("k").distinct().select(F.xxhash64("k").alias("form"), F.lit("").alias("block"), F.lit("l").alias("role"), F.col("k").alias("word"))
-    forms = forms.unionByName(usual.select(F.xxhash64(F.lit("usual"), "k").alias("form"), F.lit("").alias("block"), F.lit("r").alias("role"), F.col("k").alias("word")))
-    near = edit_pairs(forms)
-    near = near.join(forms.select(F.col("form").alias("a"), F.col("word").alias("k")), "a").join(usual.select(F.xxhash64(F.lit("usual"), "k").alias("b"), F.col("k").alias("u"), (sure_share(F.col("e"), F.col("n"))).alias("share")), "b")
-    near = near.groupBy("k").agg(F.max("share").alias("share"))
+    # misread wordings: one edit from a usual one. One edit leaves the first or the last NEAR characters as they are, so wordings meet by these
+    fuzzy = F.col("k").rlike("^(?:f:|p:.* )") & (F.length("k") >= 2 + 2 * NEAR)
+    usual = counts.filter(fuzzy & (sure_share(F.col("e"), F.col("n")) >= SEEN)).select(F.col("k").alias("u"), sure_share(F.col("e"), F.col("n")).alias("share"))
+    left = w.join(exact.filter(F.col("share") >= USUAL), ["src", "rec_key", "line_no"], "left_anti").select("src", "rec_key", "line_no", F.explode("keys").alias("k")).filter(fuzzy)
+    ends = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 2 + NEAR)), F.concat(F.lit(">"), F.substring(c, 1, 2), F.substring(c, -NEAR, NEAR)))
+    met = left.select("k").distinct().withColumn("end", F.explode(ends("k"))).join(usual.withColumn("end", F.explode(ends("u"))), "end")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    edits = F.levenshtein("k", "u", 2)
+    one = (edits == 1) | ((edits == 2) & (F.length("k") == F.length("u")) & (letters("k") == letters("u")))  # or two letters in each other's place
+    near = met.filter((F.abs(F.length("k") - F.length("u")) <= 1) & one).groupBy("k").agg(F.max("share").alias("share"))
     out = cut(exact.unionByName(left.join(near, "k").select("src", "rec_key", "line_no", "share")).groupBy("src", "rec_key", "line_no").agg(F.max("share").alias("share")))
     forget(*made, exact)
     return out
