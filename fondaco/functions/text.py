@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 #: Accented letters and their plain ones, for both engines alike.
 ACCENTS = ("àáâãäåèéêëìíîïòóôõöùúûüçñýÿšž", "aaaaaaeeeeiiiiooooouuuucnyysz")
 
-# Marker words of four languages and Russian.
+# Marker words of four languages; a text shorter than MARKED_CHARS has none.
 MARKERS = {
-    "it": "il lo la gli di del della dei che non per con una nel fu furono e il testimone".split(),
-    "de": "der die das und ist nicht von den dem ein eine wurde im des laut".split(),
-    "en": "the of and to in was were by from with that not is her his".split(),
-    "fr": "le la les des du et une dans fut sur pour est au aux que".split(),
-    "ru": "и в на не что по из с о был была года село районе часть".split(),
+    "it": "di che del della delle nato nata morto morta brigata partigiano partigiana comune documento archivio resistenza".split(),
+    "de": "der die das und geb geboren gestorben archiv akten krieg stand ort deutsch unterlagen".split(),
+    "en": "the and born died record archive service war place date document casualty".split(),
+    "fr": "le la les des est ne mort nee archive document guerre lieu date resistance".split(),
 }
+MARKED_CHARS = 40
+
+# What a wrong decoding leaves in a text.
+MOJIBAKE = ["\ufffd", "\u00c3", "\u00c2", "\u00e2\u20ac"]
 
 
 def _c(c: str | Column) -> Column:
@@ -87,12 +90,18 @@ def window_around(c: str | Column, start: Column, width: int = 80) -> Column:
     return F.trim(F.regexp_replace(F.substr(_c(c), at, F.lit(2 * width)), r"\s+", " "))
 
 
-def marker_score(c: str | Column, language: str) -> Column:
-    """Occurrences of a language's markers plus twice the number of different ones."""
-    marks = F.array(*[F.lit(m) for m in dict.fromkeys(MARKERS[language])])
-    toks = word_tokens(c)
-    hits = F.filter(toks, lambda t: F.array_contains(marks, t))
-    return F.size(hits) + 2 * F.size(F.array_distinct(hits))
+def marker_score(tokens: str | Column, language: str) -> Column:
+    """Occurrences of a language's markers among tokens plus twice the number of different ones."""
+    marks = F.array(*[F.lit(m) for m in MARKERS[language]])
+    return F.size(F.filter(_c(tokens), lambda t: F.array_contains(marks, t))) + 2 * F.size(F.array_intersect(marks, _c(tokens)))
+
+
+def mojibake(c: str | Column) -> Column:
+    """Whether a text holds a mark of a wrong decoding."""
+    out = F.lit(False)
+    for m in MOJIBAKE:
+        out = out | _c(c).contains(m)
+    return out
 
 
 def levenshtein_within(a: str | Column, b: str | Column, most: int) -> Column:
@@ -134,8 +143,8 @@ def hidden_inputs(c: str | Column) -> Column:
 
 # Latin groups of letters and letters in Cyrillic.
 CYRILLIC = {
-    "a": "а", "b": "б", "c": "к", "ch": "ч", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "ij": "ий", "j": "й", "ja": "я", "ju": "ю", "k": "к", "kh": "х", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п",
-    "q": "к", "r": "р", "s": "с", "sch": "щ", "sh": "ш", "shch": "щ", "t": "т", "ts": "ц", "tsch": "ч", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "й", "ya": "я", "ye": "е", "yo": "ё", "yu": "ю", "z": "з", "zh": "ж",
+    "shch": "щ", "sch": "щ", "yo": "ё", "yu": "ю", "ya": "я", "ye": "е", "zh": "ж", "kh": "х", "ts": "ц", "ch": "ч", "sh": "ш", "ju": "ю", "ja": "я", "ij": "ий",
+    "a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "j": "й", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "ы", "z": "з",
 }
 
 

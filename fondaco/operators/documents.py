@@ -79,21 +79,26 @@ def tfidf(tokens: DataFrame, key: str) -> DataFrame:
 
 
 def cosine_pairs(weights: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, cosine), a < b, of all pairs that reach the threshold; exact, by prefix filtering.
+    """(a, b, cosine), a < b, of all pairs that reach the threshold; exact.
 
     Terms stand in the global order of their frequency, rare first; a document is posted only under the terms before the
-    point from which its rest has a norm below the threshold, so every such pair shares a posted term.
+    point from which its rest has a norm below the threshold, so a pair that reaches it shares a posted term of a. The sum over the posted
+    terms and the norm of a's rest bound the cosine; only pairs whose bound reaches the threshold are summed up over all terms.
     """
     by = Window.partitionBy(key)
     w = weights.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by)))
     rest = F.sum(F.col("w") * F.col("w")).over(by.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w = cut(w.withColumn("rest", rest))
-    post = w.filter(F.col("rest") >= threshold * threshold - 1e-9)
-    cand = post.select(F.col(key).alias("a"), "term").join(post.select(F.col(key).alias("b"), "term"), "term").filter("a < b").select("a", "b").distinct()
-    vec = w.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))  # as long as one document
-    both = cand.join(vec.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= threshold)
+    w = w.withColumn("rest", rest).withColumn("posted", F.col("rest") >= threshold * threshold - 1e-9)
+    left = F.sqrt(F.coalesce(F.max(F.when(~F.col("posted"), F.col("rest"))).over(by), F.lit(0.0)))
+    w = cut(w.select(key, "term", "w", "posted", left.alias("left")))
+    a = w.filter("posted").select(F.col(key).alias("a"), "term", F.col("w").alias("wa"), "left")
+    b = w.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
+    met = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max("left").alias("left"))
+    near = met.filter(F.col("part") + F.col("left") >= threshold - 1e-9).select("a", "b", "part")
+    others = w.filter("NOT posted").select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
+    more = near.join(others, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
+    out = near.join(more, ["a", "b"], "left").withColumn("cosine", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    return out.filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

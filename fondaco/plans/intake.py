@@ -130,14 +130,19 @@ def _(spark, d):
     return p.select("page_id", F.when(F.col("b"), "blocked").when(F.col("e") != "", "failed").when(F.col("f") == 2, "detail").when(F.col("f") == 1, "partial").otherwise("empty").alias("verdict"))
 
 
-@query("pf12_result_fallbacks", """SELECT source_id, CASE WHEN status = 'blocked' THEN 'blocked' WHEN h IS NULL THEN 'unknown' WHEN h = 0 THEN 'no_results' WHEN links < least(h, 10) THEN 'truncated' WHEN h > 50 THEN 'too_broad' ELSE 'bounded' END AS verdict, count(*) AS n FROM (SELECT r.source_id, r.status, r.h, coalesce(l.links, 0) AS links FROM (SELECT id, min(source_id) AS source_id, min(status) AS status, max(CAST(json_extract_string(payload_json, '$.hit_count') AS BIGINT)) AS h FROM source_results GROUP BY 1) r LEFT JOIN (SELECT result_id, count(DISTINCT hit_id) AS links FROM search_hits GROUP BY 1) l ON l.result_id = r.id) GROUP BY ALL""")
+#: Candidates kept of a result, and hits beyond which it is too broad.
+CANDIDATES, BROAD = 10, 50
+
+
+@query("pf12_result_fallbacks", f"""SELECT source_id, CASE WHEN status = 'error' THEN 'error' WHEN status = 'blocked' THEN 'blocked_or_dynamic' WHEN coalesce(h, 0) <= 0 THEN 'no_results' WHEN h > {BROAD} THEN 'too_broad' WHEN h > {CANDIDATES} THEN 'candidate_results_truncated' ELSE 'candidate_results' END AS verdict, count(*) AS n, CAST(sum(least(links, {CANDIDATES})) AS BIGINT) AS links
+ FROM (SELECT r.source_id, r.status, r.h, coalesce(l.links, 0) AS links FROM (SELECT id, min(source_id) AS source_id, min(lower(status)) AS status, max(CAST(json_extract_string(payload_json, '$.hit_count') AS BIGINT)) AS h FROM source_results GROUP BY 1) r LEFT JOIN (SELECT result_id, count(DISTINCT hit_id) AS links FROM search_hits GROUP BY 1) l ON l.result_id = r.id) GROUP BY 1, 2""")
 def _(spark, d):
-    """Results by their stated number of hits against the hits that were kept; hits are counted before they meet results."""
-    r = table(spark, d, "source_results").groupBy("id").agg(F.min("source_id").alias("source_id"), F.min("status").alias("status"), F.max(F.get_json_object("payload_json", "$.hit_count").cast("long")).alias("h"))
+    """The verdict on a result that no rule decides, and how many of its links are kept; links are counted before they meet results."""
+    r = table(spark, d, "source_results").groupBy("id").agg(F.min("source_id").alias("source_id"), F.min(F.lower("status")).alias("status"), F.max(F.get_json_object("payload_json", "$.hit_count").cast("long")).alias("h"))
     links = table(spark, d, "search_hits").groupBy(F.col("result_id").alias("id")).agg(F.countDistinct("hit_id").alias("links"))
-    h, k = F.col("h"), F.coalesce("links", F.lit(0))
-    verdict = F.when(F.col("status") == "blocked", "blocked").when(h.isNull(), "unknown").when(h == 0, "no_results").when(k < F.least(h, F.lit(10)), "truncated").when(h > 50, "too_broad").otherwise("bounded")
-    return r.join(links, "id", "left").groupBy("source_id", verdict.alias("verdict")).agg(_n().alias("n"))
+    h, s = F.coalesce("h", F.lit(0)), F.col("status")
+    verdict = F.when(s == "error", "error").when(s == "blocked", "blocked_or_dynamic").when(h <= 0, "no_results").when(h > BROAD, "too_broad").when(h > CANDIDATES, "candidate_results_truncated").otherwise("candidate_results")
+    return r.join(links, "id", "left").groupBy("source_id", verdict.alias("verdict")).agg(_n().alias("n"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.lit(CANDIDATES))).alias("links"))
 
 
 @query("sc22_longest_hits", """SELECT result_id, title_key, hit_id FROM (SELECT result_id, lower(trim(title)) AS title_key, hit_id, row_number() OVER (PARTITION BY result_id, lower(trim(title)) ORDER BY length(coalesce(snippet, '')) + length(coalesce(content, '')) DESC, hit_id) AS rn FROM (SELECT DISTINCT * FROM search_hits) WHERE trim(coalesce(title, '')) <> '' AND result_id IS NOT NULL) WHERE rn = 1""")

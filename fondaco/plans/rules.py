@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.html import passes
+from ..functions.text import MOJIBAKE, mojibake
+from ..operators.phrases import phrase_form, phrase_matches
+from ..operators.relational import first_match
 from ..operators.rules import captures, first_rule, messages
 from ..session import table
 from .base import Registry
@@ -34,30 +38,46 @@ def _(spark, d):
     return r.groupBy("source_id", first_rule(RESULT_RULES, cols, "unknown").alias("verdict")).agg(_n().alias("n"))
 
 
-CLASS_RULES = [
-    {"id": "death_record", "when": {"title": {"matches": r"(?i)atto di morte|acte de d|sterbe|casualty|verlustmeldung|grave"}}},
-    {"id": "personal_file", "when": {"title": {"matches": r"(?i)fascicolo personale|foglio matricolare|personalakte|dossier|service papers|scheda"}}},
-    {"id": "monument", "when": {"title": {"matches": r"(?i)lapide|gräberkarte|partigiani caduti"}}},
-    {"id": "diary", "when": {"title": {"matches": r"(?i)diario|diary|kriegstagebuch"}}},
-    {"id": "list", "when": {"title": {"matches": r"(?i)elenco|registro|verlustliste|inventario"}}},
-    {"id": "image", "when": {"title": {"matches": r"(?i)fotografie|mappa"}}},
-]
+# The classes of documents in the order of their rules.
+_MEDIA = r"(SELECT DISTINCT document_id, title, url, lower(coalesce(local_path, '')) AS f, coalesce(json_extract_string(payload_json, '$.media_type'), '') AS m, CASE WHEN trim(coalesce(content_hash, '')) <> '' THEN 'stored' WHEN trim(coalesce(local_path, '')) = '' THEN 'reference_only' ELSE '' END AS s FROM source_documents)"
+_CLASS = """CASE WHEN m LIKE 'image/%' THEN 'image_scan' WHEN coalesce(contains(lower(title), 'search'), false) OR coalesce(contains(url, 'advanced-search'), false) THEN 'result_page' WHEN s = 'reference_only' THEN 'reference_page' WHEN m IN ('text/html', 'application/xhtml+xml') THEN 'html_document'
+ WHEN m = 'application/pdf' OR f LIKE '%.pdf' THEN 'pdf_document' WHEN m = 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' OR f LIKE '%.docx' THEN 'word_document' WHEN m IN ('text/csv', 'application/vnd.ms-excel') OR regexp_matches(f, '[.](csv|xls|xlsx)$') THEN 'tabular_document' WHEN s = 'stored' THEN 'generic_document' ELSE 'unknown' END"""
+
+
+def document_classes(spark, d):
+    """(document_id, title, status, class): a document's class by its media type, title, address and whether it is stored."""
+    t = table(spark, d, "source_documents").select("document_id", "title", "url", "local_path", "payload_json", "content_hash").distinct()
+    m, f = F.coalesce(F.get_json_object("payload_json", "$.media_type"), F.lit("")), F.lower(F.coalesce("local_path", F.lit("")))
+    s = F.when(F.trim(F.coalesce("content_hash", F.lit(""))) != "", "stored").when(F.trim(F.coalesce("local_path", F.lit(""))) == "", "reference_only").otherwise("")
+    has = lambda c, x: F.coalesce(c.contains(x), F.lit(False))
+    c = first_match(
+        [
+            (m.like("image/%"), "image_scan"), (has(F.lower("title"), "search") | has(F.col("url"), "advanced-search"), "result_page"), (s == "reference_only", "reference_page"), (m.isin("text/html", "application/xhtml+xml"), "html_document"),
+            ((m == "application/pdf") | f.endswith(".pdf"), "pdf_document"), ((m == "application/vnd.openxmlformats-officedocument.wordprocessingml.document") | f.endswith(".docx"), "word_document"),
+            (m.isin("text/csv", "application/vnd.ms-excel") | f.rlike("[.](csv|xls|xlsx)$"), "tabular_document"), (s == "stored", "generic_document"),
+        ],
+        "unknown",
+    )
+    return t.select("document_id", "title", s.alias("status"), c.alias("class"))
 
 
-@query("pf04_document_classes", "SELECT CASE " + " ".join(f"WHEN coalesce(regexp_matches(title, '{r['when']['title']['matches']}'), false) THEN '{r['id']}'" for r in CLASS_RULES) + " ELSE 'other' END AS class, count(*) AS n FROM source_documents GROUP BY 1")
+@query("pf04_document_classes", f"SELECT {_CLASS} AS class, count(*) AS n FROM {_MEDIA} GROUP BY 1")
 def _(spark, d):
-    t = table(spark, d, "source_documents")
-    return t.groupBy(first_rule(CLASS_RULES, {"title": F.col("title")}, "other").alias("class")).agg(_n().alias("n"))
+    return document_classes(spark, d).groupBy("class").agg(_n().alias("n"))
 
 
 @query(
     "pf05_text_quality",
-    """SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN trim(text) = '' THEN 'blank' WHEN length(text) < 120 THEN 'short' WHEN length(text) > 8000 THEN 'long' ELSE 'usable' END AS quality FROM documents""",
+    f"""SELECT quality, class, count(*) AS n FROM (SELECT {_CLASS} AS class, coalesce(p.n, 0) AS n FROM {_MEDIA} d LEFT JOIN (SELECT h.url AS u, max(length(trim(coalesce(h.content, '')))) AS n FROM search_hits h GROUP BY 1) p ON p.u = d.url) x, LATERAL (SELECT CASE WHEN class = 'result_page' THEN 'audit_only' WHEN class = 'reference_page' THEN 'metadata_only' WHEN class = 'image_scan' AND n > 0 THEN 'ready_for_manual_review' WHEN class = 'image_scan' THEN 'manual_ocr_required' WHEN n > 0 THEN 'ready_for_manual_review' ELSE 'manual_review_required' END AS quality) GROUP BY ALL""",
 )
 def _(spark, d):
-    t = F.col("text")
-    q = F.when(t.isNull(), "missing").when(F.trim(t) == "", "blank").when(F.length(t) < 120, "short").when(F.length(t) > 8000, "long").otherwise("usable")
-    return table(spark, d, "documents").select("doc_id", q.alias("quality"))
+    """The seven rules on class and text: what a document is good for."""
+    texts = table(spark, d, "search_hits").groupBy("url").agg(F.max(F.length(F.trim(F.coalesce("content", F.lit(""))))).alias("n"))
+    t = table(spark, d, "source_documents").select("document_id", "url").distinct()
+    j = document_classes(spark, d).join(t, "document_id").join(texts, "url", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c, n = F.col("class"), F.col("n") > 0
+    q = F.when(c == "result_page", "audit_only").when(c == "reference_page", "metadata_only").when((c == "image_scan") & n, "ready_for_manual_review").when(c == "image_scan", "manual_ocr_required").when(n, "ready_for_manual_review").otherwise("manual_review_required")
+    return j.groupBy(q.alias("quality"), "class").agg(_n().alias("n"))
 
 
 PATTERNS = {"born": [r"(?:nato|nata) il ([^,(]+)", r"geb\. ([^,(]+)", r"\bborn ([^,(]+)"], "died": [r"(?:caduto|morto) il ([^,(]+)", r"(?:gef|gest)\. ([^,(]+)", r"† ?([^,(]+)"], "place": [r"\(([^()0-9]+)\)\s*$"]}
@@ -91,23 +111,27 @@ def _(spark, d):
     return table(spark, d, "source_documents").select("document_id", F.array_join(m, ";").alias("messages")).distinct()
 
 
-@query("pf39_odd_characters", r"SELECT doc_id, len(regexp_extract_all(text, '[^\p{L}\p{N}\p{P}\p{Z}\p{S}\n\r\t]')) AS odd FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\p{L}\p{N}\p{P}\p{Z}\p{S}\n\r\t]')")
+@query("pf39_mojibake", "SELECT doc_id, " + " OR ".join(f"contains(text, '{m}')" for m in MOJIBAKE) + " AS suspect FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    p = r"[^\p{L}\p{N}\p{P}\p{Z}\p{S}\n\r\t]"
-    return table(spark, d, "documents").filter(F.col("text").rlike(p)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias("odd"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", mojibake("text").alias("suspect"))
 
 
-@query("pf15_link_filter", "SELECT DISTINCT hit_id FROM search_hits WHERE regexp_matches(lower(url), '^https://[a-z0-9-]+[.]example/d/') AND NOT coalesce(regexp_matches(title, '^(Monte|Rocca|Borgo|San) '), false)")
+@query("pf15_link_filter", "SELECT source_id, count(*) AS n FROM (SELECT DISTINCT document_id, source_id FROM source_documents WHERE (coalesce(regexp_matches(title, '/scheda/'), false) OR coalesce(regexp_matches(url, '/scheda/'), false)) AND NOT (coalesce(regexp_matches(title, '(?i)mappa|karte'), false) OR coalesce(regexp_matches(url, '(?i)mappa|karte'), false))) GROUP BY 1")
 def _(spark, d):
-    t = table(spark, d, "search_hits")
-    return t.filter(F.lower("url").rlike(r"^https://[a-z0-9-]+[.]example/d/") & ~F.coalesce(F.col("title").rlike(r"^(Monte|Rocca|Borgo|San) "), F.lit(False))).select("hit_id").distinct()
+    """Links whose title or address matches a pattern to include and none to exclude."""
+    t = table(spark, d, "source_documents").filter(passes(F.col("title"), F.col("url"), ["/scheda/"], ["(?i)mappa|karte"]))
+    return t.select("document_id", "source_id").distinct().groupBy("source_id").agg(_n().alias("n"))
+
+
+_RUN = r"array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), ' ')"
 
 
-@query("f18_place_mappings", "SELECT DISTINCT q.id, m.mapping_id FROM (SELECT id, lower(json_extract_string(payload_json, '$.birth_place')) AS p FROM person_queries) q JOIN (SELECT mapping_id, lower(unnest(match_terms)) AS t FROM source_place_mappings) m ON q.p = m.t")
+@query("f18_place_mappings", f"SELECT q.id, min(m.mapping_id) AS mapping_id FROM (SELECT DISTINCT id, ' ' || {_RUN.format('p')} || ' ' AS p FROM (SELECT id, json_extract_string(payload_json, '$.birth_place') AS p FROM person_queries) WHERE p IS NOT NULL) q JOIN (SELECT mapping_id, {_RUN.format('t')} AS t FROM (SELECT mapping_id, unnest(match_terms) AS t FROM source_place_mappings)) m ON m.t <> '' AND contains(q.p, ' ' || m.t || ' ') GROUP BY 1")
 def _(spark, d):
-    q = table(spark, d, "person_queries").select("id", F.lower(F.get_json_object("payload_json", "$.birth_place")).alias("t"))
-    m = table(spark, d, "source_place_mappings").select("mapping_id", F.explode("match_terms").alias("x")).select("mapping_id", F.lower("x").alias("t"))
-    return q.join(m, "t").select("id", "mapping_id").distinct()
+    """The first mapping one of whose terms occurs in a query's place."""
+    q = table(spark, d, "person_queries").select("id", F.get_json_object("payload_json", "$.birth_place").alias("p")).filter("p is not null").distinct()
+    m = table(spark, d, "source_place_mappings").select("mapping_id", F.explode("match_terms").alias("t")).select("mapping_id", phrase_form("t").alias("form")).filter("form <> ''")
+    return phrase_matches(q, "id", "p", m).join(m, "form").groupBy("id").agg(F.min("mapping_id").alias("mapping_id"))
 
 
 QUERIES, SQL = query.QUERIES, query.SQL

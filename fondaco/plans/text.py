@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.documents import boundary_chunks, components, cosine_pairs, mentions, sentences, stride_chunks, tfidf
 from ..operators.relational import hash_id, unique_match
-from ..session import table
+from ..session import cut, table
 from .base import Registry
 
 query = Registry()
@@ -89,42 +89,52 @@ def _(spark, d):
     return t.select("doc_id", F.col("start").cast("long").alias("start"), F.substr("text", F.greatest(F.col("start") - 80, F.lit(1)), F.lit(160)).alias("around"))
 
 
-def _score_sql(c: str, lang: str) -> str:
-    marks = "[" + ", ".join(f"'{m}'" for m in dict.fromkeys(T.MARKERS[lang])) + "]"
-    hits = f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda t: list_contains({marks}, t))"
-    return f"(len({hits}) + 2 * len(list_distinct({hits})))"
+def _score_sql(lang: str) -> str:
+    marks = "[" + ", ".join(f"'{m}'" for m in T.MARKERS[lang]) + "]"
+    return f"(len(list_filter(t, lambda x: list_contains({marks}, x))) + 2 * len(list_intersect({marks}, t)))"
 
 
-_SCORES = "SELECT doc_id, " + ", ".join(f"{_score_sql('text', k)} AS {k}" for k in T.MARKERS) + " FROM documents WHERE text IS NOT NULL"
+_SCORES = "SELECT doc_id, chars, " + ", ".join(f"{_score_sql(k)} AS {k}" for k in T.MARKERS) + r" FROM (SELECT doc_id, length(trim(text)) AS chars, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL)"
+_KS = ", ".join(T.MARKERS)
+
+
+@query("f28_language_scores", f"SELECT doc_id, {_KS} FROM ({_SCORES})")
+def _(spark, d):
+    return language_scores(spark, d).drop("chars")
 
 
-@query("f28_language_scores", _SCORES)
 def language_scores(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", *[T.marker_score("text", k).cast("long").alias(k) for k in T.MARKERS])
+    """Scores of each language; a text is cut in tokens once for all of them."""
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(F.trim("text")).alias("chars"), T.word_tokens("text").alias("t"))
+    return t.select("doc_id", "chars", *[T.marker_score("t", k).cast("long").alias(k) for k in T.MARKERS])
+
+
+_TOP, _TOTAL = f"greatest({_KS})", f"({_KS.replace(', ', ' + ')})"
 
 
 @query(
     "g08_languages",
-    f"""SELECT doc_id, CASE WHEN greatest(it, de, en, fr, ru) = 0 THEN 'unknown' ELSE list_sort([{', '.join(f"lpad(CAST(1000000 - {k} AS VARCHAR), 8, '0') || '{k}'" for k in T.MARKERS)}])[1][9:] END AS language,
-    CASE WHEN greatest(it, de, en, fr, ru) = 0 THEN 0.25 ELSE round(greatest(0.25, least(0.99::DOUBLE, 0.65::DOUBLE * greatest(it, de, en, fr, ru) / (it + de + en + fr + ru) + 0.35::DOUBLE * (greatest(it, de, en, fr, ru) - list_sort([it, de, en, fr, ru])[4]) / greatest(it, de, en, fr, ru))), 9) END AS confidence,
-    len(list_filter([it, de, en, fr, ru], lambda x: x >= greatest(2, floor(0.45 * greatest(it, de, en, fr, ru))))) > 1 AS multilingual FROM ({_SCORES})""",
+    f"""SELECT doc_id, CASE WHEN {_TOP} = 0 OR chars < {T.MARKED_CHARS} THEN 'und' ELSE list_sort([{', '.join(f"{{'s': -{k}, 'k': '{k}'}}" for k in T.MARKERS)}])[1].k END AS language,
+    round(least(CASE WHEN chars < {T.MARKED_CHARS} THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END, CASE WHEN {_TOP} = 0 THEN 0.15::DOUBLE ELSE greatest(0.25::DOUBLE, least(0.99::DOUBLE, 0.65::DOUBLE * {_TOP} / {_TOTAL} + 0.35::DOUBLE * ({_TOP} - list_sort([{_KS}])[3]) / {_TOP})) END), 9) AS confidence,
+    chars >= {T.MARKED_CHARS} AND len(list_filter([{_KS}], lambda x: x >= greatest(2, floor(0.45 * {_TOP})))) > 1 AS multilingual FROM ({_SCORES})""",
 )
 def languages(spark, d):
-    """Language by marker words: the share of the best and its margin over the next."""
+    """Language by marker words: the share of the best and its margin over the next; short texts and those without a marker stay undetermined."""
     s = language_scores(spark, d)
     ks = list(T.MARKERS)
     scores = F.array(*[F.col(k) for k in ks])
     top, total = F.array_max(scores), F.aggregate(scores, F.lit(0).cast("long"), lambda a, x: a + x)
     second = F.element_at(F.array_sort(scores), len(ks) - 1)
     best = F.element_at(F.array_sort(F.array(*[F.struct((-F.col(k)).alias("s"), F.lit(k).alias("k")) for k in ks])), 1)["k"]
-    conf = F.greatest(F.lit(0.25), F.least(F.lit(0.99), 0.65 * top / total + 0.35 * (top - second) / top))
+    short = F.col("chars") < T.MARKED_CHARS
+    conf = F.when(top == 0, 0.15).otherwise(F.greatest(F.lit(0.25), F.least(F.lit(0.99), 0.65 * top / total + 0.35 * (top - second) / top)))
     many = F.size(F.filter(scores, lambda x: x >= F.greatest(F.lit(2.0), F.floor(0.45 * top)))) > 1
-    return s.select("doc_id", F.when(top == 0, "unknown").otherwise(best).alias("language"), F.when(top == 0, 0.25).otherwise(F.round(conf, 9)).alias("confidence"), many.alias("multilingual"))
+    return s.select("doc_id", F.when((top == 0) | short, "und").otherwise(best).alias("language"), F.round(F.least(F.when(short, 0.2).otherwise(1.0), conf), 9).alias("confidence"), (~short & many).alias("multilingual"))
 
 
-@query("g09_routing", f"SELECT language, multilingual OR confidence < 0.5 AS manual_review, count(*) AS n FROM ({query.SQL['g08_languages']}) GROUP BY ALL")
+@query("g09_routing", f"SELECT language, multilingual OR confidence < 0.45 AS manual_review, count(*) AS n FROM ({query.SQL['g08_languages']}) GROUP BY ALL")
 def _(spark, d):
-    return languages(spark, d).groupBy("language", (F.col("multilingual") | (F.col("confidence") < 0.5)).alias("manual_review")).agg(_n().alias("n"))
+    return languages(spark, d).groupBy("language", (F.col("multilingual") | (F.col("confidence") < 0.45)).alias("manual_review")).agg(_n().alias("n"))
 
 
 @query("f31_scripts", r"""SELECT doc_id, CASE WHEN c = 0 AND l = 0 THEN 'none' WHEN c > l THEN 'cyrillic' ELSE 'latin' END AS script FROM (SELECT doc_id, length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')) AS c, length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) AS l FROM documents WHERE text IS NOT NULL)""")
@@ -200,26 +210,42 @@ def _(spark, d):
     return tfidf(t, "document_id").groupBy("term").agg(_n().alias("docs"), F.round(F.max("w"), 4).alias("most"))
 
 
-def title_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Different titles whose TF-IDF cosine is 0.8 or more; equal titles are one class and meet once."""
-    titles = table(spark, d, "source_documents").filter("title is not null").select(T.label_form("title").alias("title")).distinct()
-    return cosine_pairs(tfidf(titles.select("title", F.explode(T.latin_tokens("title")).alias("term")), "title"), "title", 0.8)
+# Similarity, least number of tokens and stop words of text clusters.
+CLUSTER, CLUSTER_TOKENS = 0.86, 80
+CLUSTER_STOP = "alla alle che chi come con dei del della delle dello dopo era gli ill nel nella nelle non per piu sul sulla tra una".split()
 
 
-_TITLES = f"""WITH t AS (SELECT DISTINCT {_LABEL.format('title')} AS title FROM source_documents WHERE title IS NOT NULL),
- o AS (SELECT title, unnest(regexp_extract_all({_PLAIN.format('title')}, '[a-z0-9]{{3,}}')) AS term FROM t), f AS (SELECT title, term, count(*) AS tf FROM o GROUP BY 1, 2),
- w AS (SELECT title, term, tf * (ln((1 + (SELECT count(DISTINCT title) FROM f)) / (1.0 + count(*) OVER (PARTITION BY term))) + 1) AS w FROM f), u AS (SELECT title, term, w / sqrt(sum(w * w) OVER (PARTITION BY title)) AS w FROM w),
- p AS (SELECT a.title AS a, b.title AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.title < b.title GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8)"""
+def text_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Different texts of enough tokens whose TF-IDF cosine reaches the threshold; equal texts are one class, named by its smallest id, and meet once."""
+    stop = F.array(*[F.lit(w) for w in CLUSTER_STOP])
+    t = table(spark, d, "documents").filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    t = t.select("doc_id", F.filter(T.latin_tokens("text"), lambda w: ~F.array_contains(stop, w)).alias("t")).filter(F.size("t") >= CLUSTER_TOKENS)
+    return cosine_pairs(tfidf(t.select("doc_id", F.explode("t").alias("term")), "doc_id"), "doc_id", CLUSTER)
 
 
-@query("g12_similar_titles", _TITLES + " SELECT a, b, round(cosine, 4) AS cosine FROM p")
+_CLUSTERED = f"""WITH t AS (SELECT min(doc_id) AS doc_id, list_filter(regexp_extract_all({_PLAIN.format('text')}, '[a-z0-9]{{3,}}'), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in CLUSTER_STOP)}], w)) AS t FROM documents WHERE text IS NOT NULL GROUP BY text),
+ o AS (SELECT doc_id, unnest(t) AS term FROM t WHERE len(t) >= {CLUSTER_TOKENS}), f AS (SELECT doc_id, term, count(*) AS tf FROM o GROUP BY 1, 2),
+ w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM f)) / (1.0 + count(*) OVER (PARTITION BY term))) + 1) AS w FROM f), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {CLUSTER})"""
+
+
+@query("g12_similar_texts", _CLUSTERED + " SELECT a, b, round(cosine, 4) AS cosine FROM p")
 def _(spark, d):
-    return title_pairs(spark, d).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return text_pairs(spark, d).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
-@query("g14_title_clusters", _TITLES.replace("WITH t", "WITH RECURSIVE t") + ", e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), m AS (SELECT x AS node, min(y) AS component FROM r GROUP BY 1) SELECT component, count(*) AS members FROM m GROUP BY 1")
+@query(
+    "g14_text_clusters",
+    _CLUSTERED.replace("WITH t", "WITH RECURSIVE t") + ", e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), m AS (SELECT x AS node, min(y) AS component FROM r GROUP BY 1)"
+    " SELECT component, max(members) AS members, round(min(cosine), 4) AS least, round(max(cosine), 4) AS most, round(avg(cosine), 4) AS mean FROM (SELECT m.component, count(*) OVER (PARTITION BY m.component) AS k, p.cosine, (SELECT count(*) FROM m n WHERE n.component = m.component) AS members FROM p JOIN m ON m.node = p.a) GROUP BY 1",
+)
 def _(spark, d):
-    return components(title_pairs(spark, d)).groupBy("component").agg(_n().alias("members"))
+    """Clusters of similar texts with their size and the least, greatest and mean similarity of their pairs."""
+    pairs = cut(text_pairs(spark, d))
+    c = components(pairs)
+    size = c.groupBy("component").agg(_n().alias("members"))
+    stats = pairs.join(c.withColumnRenamed("node", "a"), "a").groupBy("component").agg(*[F.round(f("cosine"), 4).alias(n) for f, n in ((F.min, "least"), (F.max, "most"), (F.avg, "mean"))])
+    return size.join(stats, "component").select("component", "members", "least", "most", "mean")
 
 
 @query(
