@@ -118,7 +118,7 @@ FIELD_CONTAINED = 0.8
 ANY = "*"
 #: Tokens around fields: marks, and names with the dots and underscores inside them.
 FIELD_TOKEN = re.compile(r"\{\{|\}\}|\{%|%\}|\$\{|<%=|%>|\[\[|\]\]|\(\(|\)\)|@@|__+|&lt;|&gt;|«campo(?=_)|»|\bx{3,}(?=_)|[\[\]{}<>%$#:]|[^\W\d_](?:[^\W_]|[._](?=[^\W_]))*|\d+|[^\w\s]")
-_MARK = re.compile(r"[{}\[\]<>%$#@«]|__|\(\(|&lt;|\bx{3,}_|\btodo\b", re.I)
+_MARK = re.compile(r"[{}\[\]<>%$#]|@@|«campo|__|\(\(|&lt;|\bx{3,}_|\btodo\b", re.I)
 
 
 def _split(form: str) -> list[str]:
