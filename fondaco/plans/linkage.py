@@ -86,34 +86,19 @@ def _(spark, d):
     return p.join(r, ["run_id", "query"]).groupBy(F.col("pid").alias("id")).agg(F.count("id").alias("results"), F.countDistinct("source_id").alias("sources"))
 
 
-_WORDS = f"(SELECT DISTINCT unnest(string_split({_LABEL.format('matched_label')}, ' ')) AS w FROM place_labels WHERE matched_label IS NOT NULL)"
-_LEXICON = f"(SELECT DISTINCT unnest(string_split({_LABEL.format('preferred_label')}, ' ')) AS term FROM places)"
-
-
-@query(
-    "t04_suggestions",
-    f"""SELECT word, term, edits, pos FROM (SELECT w AS word, term, levenshtein(w, term) AS edits, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, term), term) AS pos FROM {_WORDS} JOIN {_LEXICON} ON substr(w, 1, 3) = substr(term, 1, 3) AND abs(length(w) - length(term)) <= 2
-    WHERE length(w) >= 5 AND regexp_full_match(w, '[a-z]+') AND regexp_full_match(term, '[a-z]+') AND levenshtein(w, term) BETWEEN 1 AND 2) WHERE pos <= 3""",
-)
-def _(spark, d):
-    """For each word that a lexicon lacks, its nearest terms: bounded edit distance within blocks of a common beginning."""
-    words = table(spark, d, "place_labels").select(F.explode(F.split(T.label_form("matched_label"), " ")).alias("word")).filter(F.col("word").rlike("^[a-z]{5,}$")).distinct()
-    terms = table(spark, d, "places").select(F.explode(F.split(T.label_form("preferred_label"), " ")).alias("term")).filter(F.col("term").rlike("^[a-z]+$")).distinct()
-    block = lambda c: F.substring(c, 1, 3)
-    p = words.withColumn("b", block("word")).join(terms.withColumn("b", block("term")), "b").filter(F.abs(F.length("word") - F.length("term")) <= 2)
-    p = p.withColumn("edits", F.levenshtein("word", "term", 2)).filter("edits >= 1")
-    w = Window.partitionBy("word").orderBy("edits", "term")
-    return p.withColumn("pos", F.row_number().over(w)).filter("pos <= 3").select("word", "term", F.col("edits").cast("long").alias("edits"), F.col("pos").cast("long").alias("pos"))
-
-
 @query(
     "t05_staged_caps",
-    """SELECT profile_id, item_id, rn FROM (SELECT profile_id, item_id, row_number() OVER (PARTITION BY profile_id ORDER BY item_id) AS rn FROM (SELECT DISTINCT profile_id, item_id, item_type FROM review_queue_items WHERE profile_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY profile_id, item_type ORDER BY item_id) <= 3)) WHERE rn <= 5""",
+    """SELECT profile_id, item_id, rn FROM (SELECT profile_id, item_id, row_number() OVER (PARTITION BY profile_id ORDER BY ord, item_id) AS rn FROM (SELECT profile_id, item_id, ord, row_number() OVER (PARTITION BY profile_id, item_type, coalesce(candidate_field, '') ORDER BY item_id) AS g, row_number() OVER (PARTITION BY profile_id, item_type ORDER BY item_id) AS t, item_type
+    FROM (SELECT DISTINCT profile_id, item_id, item_type, candidate_field, CASE item_type WHEN 'link' THEN 0 ELSE 1 END AS ord FROM review_queue_items WHERE profile_id IS NOT NULL)) WHERE CASE WHEN item_type = 'link' THEN t <= 5 ELSE g <= 3 END) WHERE rn <= 10""",
 )
 def _(spark, d):
-    r = table(spark, d, "review_queue_items").filter("profile_id is not null").select("profile_id", "item_id", "item_type")
-    r = r.withColumn("k", F.row_number().over(Window.partitionBy("profile_id", "item_type").orderBy("item_id"))).filter("k <= 3").select("profile_id", "item_id").distinct()
-    return r.withColumn("rn", F.row_number().over(Window.partitionBy("profile_id").orderBy("item_id")).cast("long")).filter("rn <= 5").select("profile_id", "item_id", "rn")
+    """Of each profile at most five links and three items of each other group, ten at all, links first (a report's caps)."""
+    r = table(spark, d, "review_queue_items").filter("profile_id is not null").select("profile_id", "item_id", "item_type", "candidate_field").distinct()
+    pos = lambda *by: F.row_number().over(Window.partitionBy("profile_id", *by).orderBy("item_id"))
+    link = F.coalesce(F.col("item_type") == "link", F.lit(False))
+    r = r.withColumn("f", F.coalesce("candidate_field", F.lit(""))).withColumn("g", pos("item_type", "f")).withColumn("t", pos("item_type"))
+    kept = r.filter(F.when(link, F.col("t") <= 5).otherwise(F.col("g") <= 3)).withColumn("ord", F.when(link, 0).otherwise(1))
+    return kept.withColumn("rn", F.row_number().over(Window.partitionBy("profile_id").orderBy("ord", "item_id")).cast("long")).filter("rn <= 10").select("profile_id", "item_id", "rn")
 
 
 @query(
