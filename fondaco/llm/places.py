@@ -11,7 +11,7 @@ from __future__ import annotations
 import pickle
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,35 +43,40 @@ KIND_OF = {f: k for k, forms in KINDS.items() for f in forms}
 _PREFIXES = sorted(((s, k) for k, forms in KINDS.items() for s in forms), key=lambda x: -len(x[0]))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance (a true metric), bit-parallel over the shorter word."""
-    if a == b:
-        return 0
-    if len(a) > len(b):
-        a, b = b, a
-    m = len(a)
+def distances_from(word: str) -> Callable[[str], int]:
+    """Levenshtein distance (a true metric) of other words to one: bit-parallel, the one's positions of letters are made once."""
+    m = len(word)
     if not m:
-        return len(b)
+        return len
     peq: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(word):
         peq[c] = peq.get(c, 0) | (1 << i)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for c in b:
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        if mh & top:
-            score -= 1
-        ph = (ph << 1) | 1
-        mh <<= 1
-        pv = (mh | ~(xv | ph)) & full
-        mv = ph & xv & full
-    return score
+    full, top, at = (1 << m) - 1, 1 << (m - 1), peq.get
+
+    def distance(other: str) -> int:
+        pv, mv, score = full, 0, m
+        for c in other:
+            eq = at(c, 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = (ph << 1) | 1
+            mh <<= 1
+            pv = (mh | ~(xv | ph)) & full
+            mv = ph & xv & full
+        return score
+
+    return distance
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of two words."""
+    return 0 if a == b else distances_from(a)(b)
 
 
 def swap_distance(a: str, b: str) -> int:
@@ -114,9 +119,10 @@ class BKTree:
 
     def within(self, word: str, d: int) -> list[tuple[int, str]]:
         found, todo = [], [self.root] if self.root else []
+        distance = distances_from(word)
         while todo:
             w, kids = todo.pop()
-            x = edit_distance(word, w)
+            x = distance(w)
             if x <= d:
                 found.append((x, w))
             for k in range(x - d, x + d + 1):
