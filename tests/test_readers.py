@@ -123,3 +123,26 @@ def test_notes_runs_and_caches(spark, tmp_path):
     pages = lambda t: spark.createDataFrame([("p1", "x"), ("p2", t)], "k string, t string")
     out = str(tmp_path / "pages")
     assert [sinks.write_pages(pages(t), out, "k", "t", "v1") for t in ("y", "y", "z")] == [2, 0, 1]
+
+
+def test_nearest_terms_against_brute_force(spark):
+    import random
+
+    from fondaco.operators.suggestions import nearest_terms
+
+    rnd = random.Random(4)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(60)})
+    terms = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(40)})
+
+    def slow(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    w = spark.createDataFrame([(x,) for x in [*words, None]], "word string")
+    t = spark.createDataFrame([(x,) for x in terms], "term string")
+    got = {(r.word, r.term, r.edits) for r in nearest_terms(w, t, 2).collect()}
+    assert got == {(a, b, slow(a, b)) for a in words for b in terms if a != b and slow(a, b) <= 2}
