@@ -55,8 +55,24 @@ def _sql(child: str, key: str, ref: str, parent: str, pkey: str) -> str:
 
 P3_SQL = " UNION ALL ".join(_sql(*r) for r in REFERENCES)
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts}
+def p3_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose pair of run and source no result has; where one of the two is null, the other one alone must be there (partial match)."""
+    c = earliest_delivery(table(spark, d, "source_documents"), "document_id", "registered_at", ["run_id", "source_id"])
+    c = c.select("document_id", reference_key("run_id").alias("r"), reference_key("source_id").alias("s"))
+    p = table(spark, d, "source_results").select(reference_key("run_id").alias("pr"), reference_key("source_id").alias("ps"))
+    found = orphan_references(c, p, [("r", "pr"), ("s", "ps")], "partial")
+    mask = F.when(F.col("r").isNull(), "run_null").when(F.col("s").isNull(), "source_null").otherwise("whole")
+    return found.select("document_id", mask.alias("mask"), "status")
+
+
+_KEY = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')"
+P3_COMPOSITE = f"""SELECT document_id, CASE WHEN r IS NULL THEN 'run_null' WHEN s IS NULL THEN 'source_null' ELSE 'whole' END AS mask, 'missing' AS status FROM (SELECT document_id, {_KEY.format('run_id')} AS r, {_KEY.format('source_id')} AS s FROM
+ (SELECT document_id, run_id, source_id, row_number() OVER (PARTITION BY document_id ORDER BY registered_at NULLS LAST, run_id NULLS FIRST, source_id NULLS FIRST) AS rn FROM source_documents WHERE document_id IS NOT NULL) WHERE rn = 1) c
+ WHERE NOT (r IS NULL AND s IS NULL) AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {_KEY.format('run_id')} AS pr, {_KEY.format('source_id')} AS ps FROM source_results) p WHERE (c.r IS NULL OR c.r = p.pr) AND (c.s IS NULL OR c.s = p.ps))"""
+
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_composite": p3_composite}
 SQL = {
     "p3_found": P3_SQL,
     "p3_counts": f"SELECT child_table, period, status, count(*) AS n FROM ({P3_SQL}) GROUP BY child_table, period, status",
+    "p3_composite": P3_COMPOSITE,
 }
