@@ -148,4 +148,52 @@ def _(spark, d):
     return items(spark, d).filter(reason() == "claim").join(s, "source_document_id", "left_semi").select("item_id", "profile_id", "source_document_id")
 
 
+_UNIT = r"([\p{L}]+) «([^»]{2,40})»"
+# Words before a unit's name, by kind.
+UNIT_KINDS = {"gruppo": "group", "brigata": "brigade", "formazione": "formation", "compagnia": "company", "kompanie": "company", "reparto": "detachment", "détachement": "detachment", "section": "section", "column": "column", "colonna": "column", "squadra": "squad"}
+
+
+@query("f08_named_units", rf"SELECT trim(regexp_replace(lower(v), '\s+', ' ', 'g')) AS unit, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '«([^»]{{2,40}})»', 1)) AS v FROM documents) GROUP BY 1")
+def _(spark, d):
+    """Names of units as they are compared."""
+    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("«([^»]{2,40})»"), F.lit(1))).alias("v"))
+    return t.groupBy(F.trim(F.regexp_replace(F.lower("v"), r"\s+", " ")).alias("unit")).agg(_n().alias("n"))
+
+
+@query("f09_unit_kinds", f"SELECT CASE lower(split_part(v, ' «', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in UNIT_KINDS.items()) + r" ELSE 'unit' END AS kind, lower(rtrim(split_part(v, ' «', 2), '»')) AS unit, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+ «[^»]{2,40}»')) AS v FROM documents) GROUP BY 1, 2")
+def _(spark, d):
+    """Names of units with the kind that the word before them says."""
+    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+ «[^»]{2,40}»"), F.lit(0))).alias("v"))
+    word = F.lower(F.split_part("v", F.lit(" «"), F.lit(1)))
+    kinds = F.create_map(*[F.lit(x) for kv in UNIT_KINDS.items() for x in kv])
+    return t.groupBy(F.coalesce(F.element_at(kinds, word), F.lit("unit")).alias("kind"), F.lower(F.regexp_replace(F.split_part("v", F.lit(" «"), F.lit(2)), "»+$", "")).alias("unit")).agg(_n().alias("n"))
+
+
+@query("ag29_source_quality", """SELECT source_id, count(*) AS documents, round(count_if(trim(coalesce(title, '')) <> '') * 1.0::DOUBLE / count(*), 6) AS titled, round(count_if(coalesce(content_hash, '') <> '') * 1.0::DOUBLE / count(*), 6) AS hashed, CASE WHEN count_if(trim(coalesce(title, '')) = '') > 0 AND count_if(coalesce(content_hash, '') = '') > 0 THEN 'titles;hashes' WHEN count_if(trim(coalesce(title, '')) = '') > 0 THEN 'titles' WHEN count_if(coalesce(content_hash, '') = '') > 0 THEN 'hashes' ELSE '' END AS issues FROM (SELECT document_id, min(source_id) AS source_id, max(title) AS title, max(content_hash) AS content_hash FROM source_documents GROUP BY 1) GROUP BY 1""")
+def _(spark, d):
+    """How complete each source's documents are, and what is amiss."""
+    t = table(spark, d, "source_documents").groupBy("document_id").agg(F.min("source_id").alias("source_id"), F.max("title").alias("title"), F.max("content_hash").alias("content_hash"))
+    titled, hashed = F.trim(F.coalesce("title", F.lit(""))) != "", F.coalesce("content_hash", F.lit("")) != ""
+    g = t.groupBy("source_id").agg(_n().alias("documents"), F.count_if(titled).alias("t"), F.count_if(hashed).alias("h"))
+    issues = F.concat_ws(";", F.when(F.col("t") < F.col("documents"), "titles"), F.when(F.col("h") < F.col("documents"), "hashes"))
+    return g.select("source_id", "documents", F.round(F.col("t") / F.col("documents"), 6).alias("titled"), F.round(F.col("h") / F.col("documents"), 6).alias("hashed"), issues.alias("issues"))
+
+
+@query("sk06_imported_queries", """SELECT 'query-' || substr(sha256(coalesce(run_id, '') || '|' || coalesce(json_extract_string(payload_json, '$.full_name'), '')), 1, 16) AS query_id, count(*) AS copies, min(json_extract_string(payload_json, '$.birth_date')) AS birth FROM person_queries WHERE payload_json IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    """Queries of an export, each under an id that says what it asks, so importing it again adds nothing."""
+    j = lambda k: F.get_json_object("payload_json", f"$.{k}")
+    key = F.concat(F.coalesce("run_id", F.lit("")), F.lit("|"), F.coalesce(j("full_name"), F.lit("")))
+    t = table(spark, d, "person_queries").filter("payload_json is not null")
+    return t.groupBy(F.concat(F.lit("query-"), F.substring(F.sha2(key, 256), 1, 16)).alias("query_id")).agg(_n().alias("copies"), F.min(j("birth_date")).alias("birth"))
+
+
+@query("g24_decided_operations", f"SELECT i.profile_id, i.candidate_field AS field, count(*) AS operations, min('replace /' || i.candidate_field || ' ' || trim(i.candidate_value)) AS first_operation FROM {_ITEMS} i SEMI JOIN (SELECT DISTINCT item_id FROM review_queue_items WHERE list_contains(allowed_decisions, 'accept')) a ON a.item_id = i.item_id WHERE {_REASON} = 'claim' GROUP BY 1, 2")
+def _(spark, d):
+    """Claims that may be accepted, as operations on their profiles' fields."""
+    a = table(spark, d, "review_queue_items").filter(F.array_contains("allowed_decisions", "accept")).select("item_id").distinct()
+    op = F.concat(F.lit("replace /"), "candidate_field", F.lit(" "), F.trim("candidate_value"))
+    return items(spark, d).filter(reason() == "claim").join(a, "item_id", "left_semi").groupBy("profile_id", F.col("candidate_field").alias("field")).agg(_n().alias("operations"), F.min(op).alias("first_operation"))
+
+
 QUERIES, SQL = query.QUERIES, query.SQL

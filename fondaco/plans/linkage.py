@@ -111,12 +111,14 @@ def _(spark, d):
     return r.withColumn("rn", F.row_number().over(Window.partitionBy("profile_id").orderBy("item_id"))).orderBy("rn", "profile_id", "item_id").limit(200).select("profile_id", "item_id")
 
 
-@query("t06_one_queue", """SELECT ord, kind, id FROM (SELECT 1 AS ord, 'result' AS kind, CAST(id AS VARCHAR) AS id FROM source_results WHERE status <> 'ok' UNION ALL SELECT 2, 'document', document_id FROM source_documents WHERE deleted_at IS NOT NULL UNION ALL SELECT 3, 'item', item_id FROM review_queue_items WHERE risk = 'high')""")
+@query("t06_one_queue", """SELECT ord, kind, id FROM (SELECT 1 AS ord, 'readiness' AS kind, profile_id AS id FROM profile_names WHERE confidence IS NULL UNION SELECT 2, 'link', item_id FROM review_queue_items WHERE item_type = 'link' AND priority = 'high' UNION SELECT 3, 'claim', item_id FROM review_queue_items WHERE item_type = 'claim' AND risk = 'high' UNION SELECT 4, 'signal', item_id FROM review_queue_items WHERE subject_kind = 'reviewable_document_signal' AND priority = 'high' UNION SELECT 5, 'warning', document_id FROM source_documents WHERE deleted_at IS NOT NULL)""")
 def _(spark, d):
-    one = lambda o, kind, df, key: df.select(F.lit(o).alias("ord"), F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"))
-    a = one(1, "result", table(spark, d, "source_results").filter("status <> 'ok'"), "id")
-    b = one(2, "document", table(spark, d, "source_documents").filter("deleted_at is not null"), "document_id")
-    return a.unionByName(b).unionByName(one(3, "item", table(spark, d, "review_queue_items").filter("risk = 'high'"), "item_id"))
+    """One queue of what waits: profiles that aren't ready, links, claims, signals, warnings, in this order."""
+    one = lambda o, kind, df, key: df.select(F.lit(o).alias("ord"), F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    q = table(spark, d, "review_queue_items")
+    out = one(1, "readiness", table(spark, d, "profile_names").filter("confidence is null"), "profile_id").unionByName(one(2, "link", q.filter("item_type = 'link' AND priority = 'high'"), "item_id"))
+    out = out.unionByName(one(3, "claim", q.filter("item_type = 'claim' AND risk = 'high'"), "item_id")).unionByName(one(4, "signal", q.filter("subject_kind = 'reviewable_document_signal' AND priority = 'high'"), "item_id"))
+    return out.unionByName(one(5, "warning", table(spark, d, "source_documents").filter("deleted_at is not null"), "document_id")).distinct()
 
 
 @query("f20_name_attempts", """SELECT DISTINCT attempt FROM (SELECT unnest([trim(g) || ' ' || trim(f), trim(f) || ' ' || trim(g), substr(trim(g), 1, 1) || '. ' || trim(f)]) AS attempt FROM (SELECT given_name AS g, family_name AS f FROM person_queries WHERE trim(coalesce(given_name, '')) <> '' AND trim(coalesce(family_name, '')) <> ''))""")

@@ -61,14 +61,14 @@ _BAGS = f"""(SELECT page_id, coalesce(a.t, b.t) AS t, coalesce(a.n, 0) AS nr, co
  FULL JOIN (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(recognised), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {_TEXTS}) GROUP BY 1, 2) b USING (page_id, t))"""
 
 
-@query("o09_token_ratios", f"""SELECT page_id, round(sum(least(nr, no)) * 1.0::DOUBLE / nullif(sum(nr), 0), 6) AS coverage, round(greatest(0, sum(no) - sum(least(nr, no))) * 1.0::DOUBLE / nullif(sum(no), 0), 6) AS invention FROM {_BAGS} GROUP BY 1""")
+@query("o09_token_ratios", f"""SELECT page_id, round(sum(least(nr, no)) * 1.0::DOUBLE / nullif(sum(nr), 0), 6) AS coverage, round(greatest(0, sum(no) - sum(least(nr, no))) * 1.0::DOUBLE / nullif(sum(no), 0), 6) AS invention, round(sum(least(nr, no)) * 1.0::DOUBLE / nullif(sum(no), 0), 6) AS accuracy, round(least(1.0::DOUBLE, sum(no) * 1.0::DOUBLE / nullif(sum(nr), 0)), 6) AS completeness FROM {_BAGS} GROUP BY 1""")
 def token_ratios(spark, d):
-    """Coverage and invention from the multiset intersection of tokens."""
+    """Four ratios from the multiset intersection of tokens: the reference's share that is there, the output's that is right and that is invented, and the output's length."""
     t = page_texts(spark, d)
     bag = lambda c, n: t.select("page_id", F.explode(word_tokens(c)).alias("t")).groupBy("page_id", "t").agg(_n().alias(n))
     b = bag("reference", "nr").join(bag("recognised", "no"), ["page_id", "t"], "full_outer").fillna(0, ["nr", "no"])
     s = b.groupBy("page_id").agg(F.sum(F.least("nr", "no")).alias("common"), F.sum("nr").alias("ref"), F.sum("no").alias("out"))
-    return s.select("page_id", F.round(ratio(F.col("common"), F.col("ref")), 6).alias("coverage"), F.round(ratio(F.col("out") - F.col("common"), F.col("out")), 6).alias("invention"))
+    return s.select("page_id", F.round(ratio(F.col("common"), F.col("ref")), 6).alias("coverage"), F.round(ratio(F.col("out") - F.col("common"), F.col("out")), 6).alias("invention"), F.round(ratio(F.col("common"), F.col("out")), 6).alias("accuracy"), F.round(ratio(F.col("out"), F.col("ref")), 6).alias("completeness"))
 
 
 _CONF = "(SELECT engine, round(unnest(list_transform(regions, lambda x: x.confidence)), 4) AS c FROM ocr_pages)"
@@ -279,4 +279,28 @@ def _(spark, d):
     return regions(spark, d).groupBy("page_id", kind.alias("kind")).agg(_n().alias("lines"))
 
 
+_LINES = "(SELECT page_id, i - 1 AS line_no, s[i] AS line FROM (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, string_split(min(text), chr(10)) AS s FROM page_references WHERE text <> '' GROUP BY 1)))"
+_KEYED = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query("o34_line_match_rates", f"SELECT e.engine, count(*) AS lines, round(count_if(r.text = l.line) * 1.0::DOUBLE / count(*), 6) AS exact, round(count_if({_KEYED.format('r.text')} = {_KEYED.format('l.line')}) * 1.0::DOUBLE / count(*), 6) AS normalised FROM {_REGIONS} r JOIN {_LINES} l USING (page_id, line_no) JOIN (SELECT page_id, min(engine) AS engine FROM ocr_pages GROUP BY 1) e USING (page_id) WHERE r.text IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    """Lines of each engine that are the reference's line at their place, as they stand and without case and punctuation."""
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    ref = table(spark, d, "page_references").filter("text <> ''").groupBy("page_id").agg(F.min("text").alias("t"))
+    ref = ref.select("page_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    e = table(spark, d, "ocr_pages").groupBy("page_id").agg(F.min("engine").alias("engine"))
+    j = regions(spark, d).filter("text is not null").join(ref, ["page_id", "line_no"]).join(e, "page_id")
+    share = lambda c: F.round(F.count_if(c) / _n(), 6)
+    return j.groupBy("engine").agg(_n().alias("lines"), share(F.col("text") == F.col("line")).alias("exact"), share(key("text") == key("line")).alias("normalised"))
+
+
+@query("o22_consistency_issues", f"SELECT page_id, CASE WHEN r.n IS NULL THEN 'no_reference' WHEN r.n <> o.n THEN 'line_count' ELSE 'none' END AS code FROM (SELECT page_id, max(len(regions)) AS n FROM ocr_pages GROUP BY 1) o LEFT JOIN (SELECT page_id, count(*) AS n FROM {_LINES} GROUP BY 1) r USING (page_id)")
+def _(spark, d):
+    """Whether a page's regions and its reference go together."""
+    o = table(spark, d, "ocr_pages").groupBy("page_id").agg(F.max(F.size("regions")).alias("n"))
+    r = table(spark, d, "page_references").filter("text <> ''").groupBy("page_id").agg(F.size(F.split(F.min("text"), "\n")).alias("k"))
+    return o.join(r, "page_id", "left").select("page_id", F.when(F.col("k").isNull(), "no_reference").when(F.col("k") != F.col("n"), "line_count").otherwise("none").alias("code"))
+
+
 QUERIES, SQL = query.QUERIES, query.SQL

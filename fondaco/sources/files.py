@@ -92,3 +92,19 @@ def csv_rows(text: Column) -> Column:
 def safe_name(value: str) -> str:
     """A file name of a value's letters and digits."""
     return re.sub(r"[^\w.-]+", "-", value).strip("-") or "leer"
+
+
+def read_registry(spark: SparkSession, path: str, root: str = "sources") -> DataFrame:
+    """(source_id, enabled, fields map<string,string>) of a YAML registry of sources; a list of entries with ids or a mapping by id.
+
+    A registry is a file that people write, so it is read on the driver.
+    """
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading a registry needs PyYAML") from e
+    text = "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    listed = (yaml.safe_load(text) or {}).get(root) or {}
+    entries = listed.items() if isinstance(listed, dict) else [(e.get("id"), e) for e in listed if isinstance(e, dict)]
+    rows = [(str(k), bool(v.get("enabled", True)), {str(a): str(b) for a, b in v.items() if b is not None and not isinstance(b, (dict, list))}) for k, v in entries if k is not None and isinstance(v, dict)]
+    return spark.createDataFrame(rows, "source_id string, enabled boolean, fields map<string,string>")

@@ -146,3 +146,12 @@ def test_nearest_terms_against_brute_force(spark):
     t = spark.createDataFrame([(x,) for x in terms], "term string")
     got = {(r.word, r.term, r.edits) for r in nearest_terms(w, t, 2).collect()}
     assert got == {(a, b, slow(a, b)) for a in words for b in terms if a != b and slow(a, b) <= 2}
+
+
+def test_registry(spark, tmp_path):
+    from fondaco.sources import files
+
+    (tmp_path / "r.yaml").write_text("sources:\n  a: {enabled: false, name: Uno, deep: {x: 1}}\n  b: {name: Due}\n")
+    (tmp_path / "l.yaml").write_text("sources:\n  - {id: c, url: u}\n  - nothing\n")
+    assert {(r.source_id, r.enabled, r.fields["name"]) for r in files.read_registry(spark, str(tmp_path / "r.yaml")).collect()} == {("a", False, "Uno"), ("b", True, "Due")}
+    assert [r.source_id for r in files.read_registry(spark, str(tmp_path / "l.yaml")).collect()] == ["c"]
