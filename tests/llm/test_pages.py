@@ -132,3 +132,18 @@ def test_heads_are_learned_and_weights_fitted(spark):
     assert w is S.START
     empty = S.head_lines(df.limit(0))
     assert empty.count() == 0
+
+
+def test_no_body_word_is_lost(spark):
+    # words of the labelled body lines in, words of the paragraphs out; a word broken over two lines is one where it is rejoined
+    from pyspark.sql import functions as F
+
+    rows = [("p", str(k), [(t, None) for t in x]) for k, x in enumerate([LINES, LINES[2:8], ["Il fronte del nord-", "ovest cedette all'alba."], ["una parola sola"], ["ukaz4no e poi con5ervato", "", "Il monte."], [None, " "]])]
+    df = spark.createDataFrame(rows, "src string, rec_key string, lines array<struct<text string, x0 double>>")
+    sc = S.Scanned(df)
+    joined = sc.broken.select("src", "rec_key", "line_no", F.lit(1).alias("j"))
+    lines = sc.body.join(joined, ["src", "rec_key", "line_no"], "left")
+    split = F.when(F.col("left") == "", 0).when(F.col("j").isNotNull() | (F.col("right") == ""), 1).otherwise(2)
+    want = {r.rec_key: r.n for r in lines.groupBy("rec_key").agg(F.sum(F.size("words") + split).alias("n")).collect()}
+    got = {r.rec_key: len(S._words(r.text)) for r in sc.texts().collect()}
+    assert {k: n for k, n in got.items() if n} == want
