@@ -103,7 +103,7 @@ def read_registry(spark: SparkSession, path: str, root: str = "sources") -> Data
         import yaml
     except ImportError as e:
         raise RuntimeError("reading a registry needs PyYAML") from e
-    text = "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    text = "\n".join(r.value for r in spark.read.format("text").option("wholetext", "true").load(path).collect())
     listed = (yaml.safe_load(text) or {}).get(root) or {}
     entries = listed.items() if isinstance(listed, dict) else [(e.get("id"), e) for e in listed if isinstance(e, dict)]
     rows = [(str(k), bool(v.get("enabled", True)), {str(a): str(b) for a, b in v.items() if b is not None and not isinstance(b, (dict, list))}) for k, v in entries if k is not None and isinstance(v, dict)]

@@ -66,7 +66,7 @@ def write_notes(df: DataFrame, path: str, key: str, text: str) -> None:
     spark = df.sparkSession
     new = df.select(F.col(key).cast("string").alias(key), F.col(text).alias("__new"))
     if _exists(spark, path):
-        old = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.regexp_extract(F.input_file_name(), rf"/{key}=([^/]*)/", 1).alias("__k"), F.col("value").alias("__old"))
+        old = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract(F.input_file_name(), rf"/{key}=([^/]*)/", 1).alias("__k"), F.col("value").alias("__old"))
         own = old.withColumn("__at", F.instr("__old", F.lit(OWN_NOTES))).filter("__at > 0").select(F.expr("url_decode(__k)").alias(key), F.expr("substring(__old, __at)").alias("__own"))
         new = new.join(own, key, "left")
     else:
