@@ -105,6 +105,8 @@ class Mixture:
         for t, s in enumerate(order):
             slots.append((s, seen.get(s, 0), t))
             seen[s] = seen.get(s, 0) + 1
+        # a source whose whole share is less than a slot has no block among so few slots: it stands in the last one
+        slots += [(s, 0, n - 1) for s in sorted(weights) if n and s not in seen]
         self.slots = spark.createDataFrame(slots, "source string, block long, slot long")
         # blocks of a source in all n slots: whole periods and the beginning of one
         rest = Counter(order[: n % self.period])

@@ -112,3 +112,10 @@ def test_mixture_of_many_periods(spark):
         all_ += n
         if k + 1 == len(rows) or rows[k + 1][0] != slot:
             assert all(abs(seen[x] - share[x] * (slot + 1) * m.slot_tokens) < 2 * m.slot_tokens for x in share)
+
+
+def test_a_share_of_less_than_a_slot_is_kept(spark):
+    docs = spark.createDataFrame([(i, "a", 1_900) for i in range(10)] + [(100 + i, "b", 100) for i in range(5)], "doc_id long, source string, n_tokens long")
+    m = mix(docs, spark.createDataFrame([("a", 0.98, 1), ("b", 0.02, 1)], "source string, target_share double, max_repeats int"))
+    share = {r.source: r.actual_share for r in m.shares.collect()}
+    assert 0.01 < share["b"] < 0.03 and share["a"] + share["b"] == 1.0
