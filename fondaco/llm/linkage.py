@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut, forget, spread
+from ..session import cut, forget, shuffled, spread
 from .names import parse_date, parse_name
 from .places import place_forms, swap_distance
 
@@ -83,7 +83,7 @@ def gram_vectors(forms: DataFrame) -> DataFrame:
     total = forms.agg(F.count(F.lit(1)).alias("total"))
     df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     # idf is smoothed, so that a gram made by a slip doesn't outweigh all others
-    w = grams.join(df, "g").join(F.broadcast(total)).select("form", "g", "df", F.log(1 + F.col("total") / (F.col("df") + 5)).alias("w"))
+    w = grams.join(shuffled(df), "g").join(F.broadcast(total)).select("form", "g", "df", F.log(1 + F.col("total") / (F.col("df") + 5)).alias("w"))
     norm = Window.partitionBy("form")  # as long as a word
     order = norm.orderBy(F.desc("df"), F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
@@ -93,7 +93,7 @@ def gram_vectors(forms: DataFrame) -> DataFrame:
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) of forms with the cosine of their vectors."""
     vec = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))  # as long as one word
-    both = pairs.join(vec.select(F.col("form").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("form").alias("b"), F.col("v").alias("vb")), "b")
+    both = pairs.join(shuffled(vec.select(F.col("form").alias("a"), F.col("v").alias("va"))), "a").join(shuffled(vec.select(F.col("form").alias("b"), F.col("v").alias("vb"))), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("vb", e["key"]), F.lit(0.0)))
     return both.withColumn("cosine", dot).drop("va", "vb")
 
@@ -104,9 +104,9 @@ def similar_forms(vectors: DataFrame, blocks: DataFrame, threshold: float = COSI
     vectors: of :func:`gram_vectors`; blocks: (form, block, size), a form in any number of blocks; size is the word's length, and words
     meet only while their lengths differ by 2 at most. With ``top_n`` a pair must be among the best of either form.
     """
-    posted = vectors.filter(F.col("rest") >= threshold * threshold).select("form", "g").join(blocks, "form")
+    posted = vectors.filter(F.col("rest") >= threshold * threshold).select("form", "g").join(shuffled(blocks), "form")
     side = lambda f, n: posted.select(F.col("form").alias(f), F.col("size").alias(n), "block", "g")
-    pairs = side("a", "na").join(side("b", "nb"), ["block", "g"]).filter("a < b AND abs(na - nb) <= 2").select("a", "b").distinct()
+    pairs = side("a", "na").join(shuffled(side("b", "nb")), ["block", "g"]).filter("a < b AND abs(na - nb) <= 2").select("a", "b").distinct()
     out = with_cosine(pairs, vectors).filter(F.col("cosine") >= threshold)
     if top_n:
         rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("cosine"), "a", "b"))
@@ -138,7 +138,7 @@ def edit_pairs(forms: DataFrame) -> DataFrame:
     left = keys.filter(F.col("role").contains("l")).select(F.col("form").alias("a"), F.col("role").alias("ra"), F.col("own").alias("oa"), *on)
     right = keys.filter(F.col("role").contains("r")).select(F.col("form").alias("b"), F.col("role").alias("rb"), F.col("own").alias("ob"), *on)
     # the same letter is the same word; two words that both lost a letter are two edits apart
-    met = left.join(right, on).filter("oa <> ob").filter("(ra = 'lr' AND rb = 'lr') OR (ra <> rb)")
+    met = left.join(shuffled(right), on).filter("oa <> ob").filter("(ra = 'lr' AND rb = 'lr') OR (ra <> rb)")
     lo, hi = F.when((F.col("ra") == "lr") & (F.col("rb") == "lr"), F.least("a", "b")).otherwise(F.col("a")), F.when((F.col("ra") == "lr") & (F.col("rb") == "lr"), F.greatest("a", "b")).otherwise(F.col("b"))
     return met.select(lo.alias("a"), hi.alias("b")).filter("a <> b").distinct()
 
@@ -199,7 +199,7 @@ def node_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = side("a"), side("b")
     e = edges.select(F.col("a").alias("a_form"), F.col("b").alias("b_form"), "edits", "cosine")
     le = a.join(e, "a_form")
-    keyed = le.withColumn("k", F.explode("a_keys")).join(b.withColumn("k", F.explode("b_keys")), ["b_form", "k"]).drop("k")
+    keyed = le.withColumn("k", F.explode("a_keys")).join(shuffled(b.withColumn("k", F.explode("b_keys"))), ["b_form", "k"]).drop("k")
     open_a = le.filter("a_birth = ''").join(b, "b_form")
     open_b = le.filter("a_birth <> ''").join(b.filter("b_birth = ''"), "b_form")
     cols = [f"{p}_{c}" for p in "ab" for c in ("node", "given", "birth", "death", "place")] + ["edits", "cosine"]

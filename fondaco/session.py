@@ -94,6 +94,15 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join's side that Spark may not broadcast by its own estimate.
+
+    Spark takes rows behind an ``explode`` or a ``collect_list`` for as large as the file they come from, while they may be hundreds of times
+    as large; they would all be gathered by the driver.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Rows over all cores before CPU-heavy Python work; an explicit number, which AQE doesn't coalesce by bytes."""
     spark = df.sparkSession
