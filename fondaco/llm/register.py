@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut, spread
+from ..session import cut, shuffled, spread
 from .linkage import _given_factor, agree, edit_pairs, rare, usual_spelling
 from .names import parse_date, parse_dates, parse_name
 
@@ -169,7 +169,7 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     n_rows, avg = stats["n"] or 0, stats["avg"] or 1.0
     df = d.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("t", F.log(1 + (F.lit(float(n_rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    imp = d.join(size, "key").join(idf, "t").select(F.col("key").alias("row"), "t", (F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / avg))).alias("w"))
+    imp = d.join(shuffled(size), "key").join(shuffled(idf), "t").select(F.col("key").alias("row"), "t", (F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / avg))).alias("w"))
     imp = cut(imp)
     own = doc.select("key", F.concat(F.lit("s:"), "surname").alias("t"), F.lit(1.0).alias("q"))
     others = doc.join(near, doc["surname"] == near["sa"]).select("key", F.concat(F.lit("s:"), "sb").alias("t"), F.lit(0.8).alias("q"))
@@ -177,12 +177,12 @@ def match_titles(register: DataFrame, titles: DataFrame, id_col: str, name: str,
     q = cut(q)
     # titles under their own surname and under those an edit away
     sides = doc.withColumn("own", F.lit(True)).unionByName(doc.join(near, doc["surname"] == near["sa"]).withColumn("surname", F.col("sb")).drop("sa", "sb").withColumn("own", F.lit(False)))
-    pairs = _keys(sides, True).select(F.col("key").alias("doc"), "k").join(_keys(reg.withColumn("own", F.lit(True)), False).select(F.col("key").alias("row"), "k"), "k").select("doc", "row").distinct()
+    pairs = _keys(sides, True).select(F.col("key").alias("doc"), "k").join(shuffled(_keys(reg.withColumn("own", F.lit(True)), False).select(F.col("key").alias("row"), "k")), "k").select("doc", "row").distinct()
     side = lambda df, p, k: df.select(F.col("key").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("initial", "surname", "given", "birth", "death")])
     qv = q.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "q"))).alias("qv")).withColumnRenamed("key", "doc")  # a dozen tokens at most, and near surnames
     iv = imp.groupBy("row").agg(F.collect_list(F.struct("t", "w")).alias("iv"))
     score = F.aggregate("iv", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.element_at("qv", x["t"]), F.lit(0.0)))
-    s = pairs.join(qv, "doc").join(iv, "row").withColumn("score", score).drop("qv", "iv")
+    s = pairs.join(shuffled(qv), "doc").join(shuffled(iv), "row").withColumn("score", score).drop("qv", "iv")
     s = s.join(side(doc, "t", "doc"), "doc").join(side(reg, "r", "row"), "row")
     near_names = near.select(F.col("sa").alias("t_surname"), F.col("sb").alias("r_surname"), F.lit(True).alias("near"))
     s = s.join(near_names, ["t_surname", "r_surname"], "left")
