@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import cut, forget
+from ..session import cut, forget, spread
+
+#: Vectors and terms of a block, groups of terms by which cosines are bounded, numbers that are spread out in memory at once; all of them only speed and memory.
+BLOCK, BLOCK_TERMS, GROUPS, CELLS = 2_048, 400_000, 256, 2_000_000
 
 
 def stride_chunks(df: DataFrame, key: str, text: str, size: int = 1_000, overlap: int = 100) -> DataFrame:
@@ -78,27 +84,96 @@ def tfidf(tokens: DataFrame, key: str) -> DataFrame:
     return tf.join(df, "term").join(F.broadcast(n)).select(key, "term", "df", (F.col("tf") * (F.log((1 + F.col("nd")) / (1 + F.col("df"))) + 1)).alias("w"))
 
 
+def _packed(vectors: DataFrame, key: str) -> DataFrame:
+    """Blocks of vectors (key, t, w) as rows: block, keys, n (terms of each), t and w of all of them."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for b in batches:
+            n = pc.list_value_length(b.column("t")).to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < len(n):
+                size = max(1, min(BLOCK, int(np.searchsorted(np.cumsum(n[lo : lo + BLOCK]), BLOCK_TERMS, side="right"))))
+                part, m = b.slice(lo, size), n[lo : lo + size].astype("int32")
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                cols = [pa.array([block], pa.int64()), one(part.column(key)), one(pa.array(m)), one(part.column("t").flatten()), one(part.column("w").flatten())]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "keys", "n", "t", "w"])
+                block, lo = block + 1, lo + size
+
+    return vectors.select(key, "t", "w").mapInArrow(run, f"block long, keys array<{kind}>, n array<int>, t array<long>, w array<double>")
+
+
+def _groups(n: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Norms of each vector's parts in GROUPS groups of terms; the product of two rows is a bound of their cosine (Cauchy and Schwarz, by group)."""
+    at = np.repeat(np.arange(len(n)), n) * GROUPS + t % GROUPS
+    return np.sqrt(np.bincount(at, w * w, len(n) * GROUPS)).astype("float32").reshape(len(n), GROUPS)
+
+
+def block_cosines(a: tuple, b: tuple, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in a, places in b, cosines) of the vectors of two blocks that reach the threshold; ``same``: a is b, and each pair comes once.
+
+    a, b: (n, t, w), the terms of each vector and all terms with their unit weights.
+    """
+    # the bound's rounding is below 1e-5
+    i, j = np.nonzero(_groups(*a) @ _groups(*b).T >= threshold - 1e-4)
+    if same:
+        i, j = i[i < j], j[i < j]
+    if not len(i):
+        return
+    (na, ta, wa), (nb, tb, wb) = a, b
+    terms, code = np.unique(np.concatenate([ta, tb]), return_inverse=True)
+    ca, cb = code[: len(ta)], code[len(ta) :]
+    sa, sb = np.cumsum(na) - na, np.cumsum(nb) - nb
+    lo, rows = 0, max(1, CELLS // len(terms))  # rows of a that are spread out at once
+    while lo < len(i):
+        hi = min(int(np.searchsorted(i, i[lo] + rows)), lo + max(1, int(np.searchsorted(np.cumsum(nb[j[lo : lo + CELLS]]), CELLS, side="right"))))
+        first, last = i[lo], i[hi - 1]
+        dense = np.zeros((last - first + 1, len(terms)))
+        own = slice(sa[first], sa[last] + na[last])
+        dense[np.repeat(np.arange(last - first + 1), na[first : last + 1]), ca[own]] = wa[own]
+        m = nb[j[lo:hi]]
+        start = np.cumsum(m) - m
+        flat = np.arange(m.sum()) + np.repeat(sb[j[lo:hi]] - start, m)
+        cosine = np.add.reduceat(dense[np.repeat(i[lo:hi] - first, m), cb[flat]] * wb[flat], start)
+        ok = cosine >= threshold
+        yield i[lo:hi][ok], j[lo:hi][ok], cosine[ok]
+        lo = hi
+
+
 def cosine_pairs(weights: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, cosine), a < b, of all pairs that reach the threshold; exact.
+    """(a, b, cosine), a < b, of all pairs that reach the threshold; exact. Weights (key, term, w) are not negative.
 
-    Terms stand in the global order of their frequency, rare first; a document is posted only under the terms before the
-    point from which its rest has a norm below the threshold, so a pair that reaches it shares a posted term of a. The sum over the posted
-    terms and the norm of a's rest bound the cosine; only pairs whose bound reaches the threshold are summed up over all terms.
+    Texts of one kind share their words, so pairs with a common rare word are nearly all pairs, and rows for them don't fit any disk. So
+    vectors are packed in blocks, every two blocks meet once, streamed from the written table, and nothing is written for a pair that isn't a
+    result: a product of norms by groups of terms bounds the cosine, and only pairs whose bound reaches the threshold are summed up over all
+    terms. The work still grows with the square of the number of vectors.
     """
-    by = Window.partitionBy(key)
-    w = weights.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by)))
-    rest = F.sum(F.col("w") * F.col("w")).over(by.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w = w.withColumn("rest", rest).withColumn("posted", F.col("rest") >= threshold * threshold - 1e-9)
-    left = F.sqrt(F.coalesce(F.max(F.when(~F.col("posted"), F.col("rest"))).over(by), F.lit(0.0)))
-    w = cut(w.select(key, "term", "w", "posted", left.alias("left")))
-    a = w.filter("posted").select(F.col(key).alias("a"), "term", F.col("w").alias("wa"), "left")
-    b = w.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    met = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max("left").alias("left"))
-    near = met.filter(F.col("part") + F.col("left") >= threshold - 1e-9).select("a", "b", "part")
-    others = w.filter("NOT posted").select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
-    more = near.join(others, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
-    out = near.join(more, ["a", "b"], "left").withColumn("cosine", F.col("part") + F.coalesce("more", F.lit(0.0)))
-    return out.filter(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    w = cut(weights.select(key, "term", F.col("w").cast("double").alias("w")).filter("w > 0"))
+    terms, seed = cut(w.select("term").distinct()), 0
+    while (n := terms.agg(F.count(F.lit(1)).alias("all"), F.count_distinct(F.xxhash64(F.lit(seed), "term")).alias("ids")).first())["all"] != n["ids"]:
+        seed += 1  # two terms of one hash
+    forget(terms)
+    vectors = spread(w.select(key, F.xxhash64(F.lit(seed), "term").alias("t"), "w"), key).groupBy(key).agg(F.collect_list(F.struct("t", "w")).alias("v"))  # as long as one text
+    blocks = cut(_packed(vectors.select(key, F.col("v.t").alias("t"), F.col("v.w").alias("w")), key))
+    forget(w)
+    side = lambda p: blocks.select(*[F.col(c).alias(f"{p}_{c}") for c in blocks.columns])
+    met = side("a").hint("shuffle_replicate_nl").join(side("b"), F.col("a_block") <= F.col("b_block"))
+    kind = weights.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors_of(row: dict, p: str) -> tuple:
+            n, t, x = (row[f"{p}_{c}"].values.to_numpy() for c in "ntw")
+            return n, t, x / np.repeat(np.sqrt(np.add.reduceat(x * x, np.cumsum(n) - n)), n)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                for i, j, cosine in block_cosines(vectors_of(row, "a"), vectors_of(row, "b"), threshold, row["a_block"] == row["b_block"]):
+                    yield pa.RecordBatch.from_arrays([row["a_keys"].values.take(pa.array(i)), row["b_keys"].values.take(pa.array(j)), pa.array(cosine)], ["x", "y", "cosine"])
+
+    found = met.mapInArrow(run, f"x {kind}, y {kind}, cosine double")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
