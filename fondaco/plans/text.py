@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.documents import boundary_chunks, components, cosine_pairs, mentions, sentences, stride_chunks, tfidf
+from ..operators.documents import boundary_chunks, components, mentions, sentences, stride_chunks, tfidf, tfidf_pairs
 from ..operators.relational import hash_id, unique_match
 from ..session import cut, table
 from .base import Registry
@@ -218,9 +218,10 @@ CLUSTER_STOP = "alla alle che chi come con dei del della delle dello dopo era gl
 def text_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Different texts of enough tokens whose TF-IDF cosine reaches the threshold; equal texts are one class, named by its smallest id, and meet once."""
     stop = F.array(*[F.lit(w) for w in CLUSTER_STOP])
-    t = table(spark, d, "documents").filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    t = t.select("doc_id", F.filter(T.latin_tokens("text"), lambda w: ~F.array_contains(stop, w)).alias("t")).filter(F.size("t") >= CLUSTER_TOKENS)
-    return cosine_pairs(tfidf(t.select("doc_id", F.explode("t").alias("term")), "doc_id"), "doc_id", CLUSTER)
+    # a shorter text has no room for so many tokens of three characters and what parts them
+    t = table(spark, d, "documents").filter(F.length(F.lower("text")) >= 4 * CLUSTER_TOKENS - 1).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    t = t.select("doc_id", F.filter(T.latin_tokens("text"), lambda w: ~F.array_contains(stop, w)).alias("t"))
+    return tfidf_pairs(t, "doc_id", "t", CLUSTER, CLUSTER_TOKENS)
 
 
 _CLUSTERED = f"""WITH t AS (SELECT min(doc_id) AS doc_id, list_filter(regexp_extract_all({_PLAIN.format('text')}, '[a-z0-9]{{3,}}'), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in CLUSTER_STOP)}], w)) AS t FROM documents WHERE text IS NOT NULL GROUP BY text),
